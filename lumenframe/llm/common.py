@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # The two word definitions of the corpus contracts.
@@ -57,19 +57,21 @@ def dropped(df: DataFrame) -> None:
         folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def ranked(df: DataFrame, keys: list[str], order: list[str | Column], salt_on: Column, salts: int, name: str) -> DataFrame:
+def ranked(df: DataFrame, keys: list[str], order: list[str | Column], salt_on: Column, salts: int, name: str, extra: DataFrame | None = None) -> DataFrame:
     """Adds `name`, a gapless rank from 0 within keys, without bringing a key's rows together.
 
     Rows are split by a salt; counts of (keys, salt) give each piece its first rank, and pieces are numbered apart. `order` must settle
-    the place of a row within its piece; equal rows may trade places. Keys may be null.
+    the place of a row within its piece; equal rows may trade places. Keys may be null. extra: a table of one row for each value of the
+    keys; its other columns are added too, by way of the pieces, so a hot key isn't joined in one task.
     """
-    from pyspark.sql import Window
-
     salted = df.withColumn("__salt", F.pmod(F.xxhash64(F.lit(7), salt_on), F.lit(salts)).cast("int"))
     counts = salted.groupBy(*keys, "__salt").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*keys).orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(*keys, "__salt", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
+    more = [c for c in extra.columns if c not in keys] if extra is not None else []
+    if extra is not None:
+        starts = starts.join(extra, [starts[k].eqNullSafe(extra[k]) for k in keys], "left").select(*(starts[c] for c in starts.columns), *(extra[c] for c in more))
     within = Window.partitionBy(*keys, "__salt").orderBy(*order)
     rows = salted.withColumn("__at", F.row_number().over(within) - 1)
     on = [rows["__salt"] == starts["__salt"], *(rows[k].eqNullSafe(starts[k]) for k in keys)]
-    return rows.join(starts, on).select(*(rows[c] for c in df.columns), (starts["__first"] + rows["__at"]).cast("long").alias(name))
+    return rows.join(starts, on).select(*(rows[c] for c in df.columns), (starts["__first"] + rows["__at"]).cast("long").alias(name), *(starts[c] for c in more))

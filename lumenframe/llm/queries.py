@@ -4,13 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses
+from . import licenses, mixing, sharding
 from .common import table
 
 
+def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.op3(table(spark, sf_dir, "documents"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.op10(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op10_license_scan": op10_license_scan}
+QUERIES = {"op2_shards": op2_shards, "op3_mix": op3_mix, "op10_license_scan": op10_license_scan}
 ORACLE_SQL: dict[str, str] = {}
