@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, mixing, sharding
+from . import decontaminate, licenses, mixing, sharding
 from .common import table
 
 
@@ -16,9 +16,13 @@ def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op3(table(spark, sf_dir, "documents"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.op8(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.op10(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_shards": op2_shards, "op3_mix": op3_mix, "op10_license_scan": op10_license_scan}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {"op2_shards": op2_shards, "op3_mix": op3_mix, "op8_decontaminate": op8_decontaminate, "op10_license_scan": op10_license_scan}
+ORACLE_SQL: dict[str, str] = {"op8_decontaminate": decontaminate.ORACLE_SQL}
