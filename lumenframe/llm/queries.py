@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, licenses, mixing, mtree, quality, sharding
+from . import decontaminate, langid, licenses, mixing, mtree, neardup, quality, sharding
 from .common import table
 
 
@@ -28,6 +28,10 @@ def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.op6(table(spark, sf_dir, "documents"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.op8(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -42,6 +46,7 @@ QUERIES = {
     "op3_mix": op3_mix,
     "op4_quality": op4_quality,
     "op5_top_k": op5_top_k,
+    "op6_near_duplicates": op6_near_duplicates,
     "op8_decontaminate": op8_decontaminate,
     "op10_license_scan": op10_license_scan,
 }
