@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, licenses, mixing, mtree, neardup, quality, sharding
+from . import decontaminate, langid, licenses, lm, mixing, mtree, neardup, quality, sharding
 from .common import table
 
 
@@ -32,6 +32,10 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.op6(table(spark, sf_dir, "documents"))
 
 
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.op8(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -47,6 +51,7 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op5_top_k": op5_top_k,
     "op6_near_duplicates": op6_near_duplicates,
+    "op7_language_model": op7_language_model,
     "op8_decontaminate": op8_decontaminate,
     "op10_license_scan": op10_license_scan,
 }
