@@ -7,8 +7,6 @@ a span (words put in or left out shift the diagonal), and a span is verified by
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,7 +39,7 @@ GRAM = 3
 
 
 def grams(spark, templates: list[tuple[str, str]], k: int = GRAM) -> DataFrame:
-    """One row for each k-gram of each template: (template, label, at, of, w0..wk-1); as many rows as the templates have words at most."""
+    """One row for each k-gram of each template: (template, label, at, of, h); as many rows as the templates have words at most."""
     rows = []
     for t, (label, text) in enumerate(templates):
         words = text.split()
@@ -49,20 +47,22 @@ def grams(spark, templates: list[tuple[str, str]], k: int = GRAM) -> DataFrame:
             raise ValueError(f"a template needs {k} words: {text!r}")
         rows += [(t, label, j, len(words) - k + 1, *words[j : j + k]) for j in range(len(words) - k + 1)]
     schema = "template int, label string, at int, of int, " + ", ".join(f"w{i} string" for i in range(k))
-    return spark.createDataFrame(rows, schema).withColumn("h", F.xxhash64(*(f"w{i}" for i in range(k))))
+    return spark.createDataFrame(rows, schema).select("template", "label", "at", "of", F.xxhash64(*(f"w{i}" for i in range(k))).alias("h"))
 
 
 def votes(docs: DataFrame, templates: list[tuple[str, str]], id_col: str = "doc_id", text_col: str = "text", k: int = GRAM) -> DataFrame:
-    """(id, fp, template, label, of, at, pos): each k-gram of a text that equals one of a template. fp tells texts of one id apart."""
+    """(id, fp, template, label, of, at, pos): each k-gram of a text that equals one of a template. fp tells texts of one id apart.
+
+    Equality is that of 64-bit hashes; with some hundred k-grams in all templates a chance match is expected once in 10^16 words.
+   """
     spark = docs.sparkSession
     gram = grams(spark, templates, k)
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("fp"), alnum_words(F.col(text_col)).alias("words")).filter(F.size("words") >= k)
-    places = texts.select("id", "fp", "words", F.explode(F.sequence(F.lit(0), F.size("words") - k)).alias("pos"))
-    word = lambda i: F.get("words", F.col("pos") + i)
-    hashed = places.select("id", "fp", "pos", F.xxhash64(*(word(i) for i in range(k))).alias("h"), *(word(i).alias(f"d{i}") for i in range(k)))
-    same = reduce(lambda a, b: a & b, (F.col(f"d{i}") == F.col(f"w{i}") for i in range(k)))
+    # Hashes are made inside the array: a row of the explosion that carried the words would copy all of them.
+    rolling = F.transform(F.sequence(F.lit(0), F.size("words") - k), lambda i: F.xxhash64(*(F.get("words", i + j) for j in range(k))))
+    hashed = texts.select("id", "fp", F.posexplode(rolling).alias("pos", "h"))
     # The templates are constants of the call, a few hundred rows, so broadcasting them is bounded whatever the corpus.
-    return hashed.join(F.broadcast(gram), "h").filter(same).select("id", "fp", "template", "label", "of", "at", "pos").distinct()
+    return hashed.join(F.broadcast(gram), "h").select("id", "fp", "template", "label", "of", "at", "pos").distinct()
 
 
 def spans(found: DataFrame, k: int = GRAM, drift: int = 6, gap: int = 12) -> DataFrame:
