@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, licenses, lm, mixing, mtree, neardup, quality, sharding
+from . import decontaminate, html, langid, licenses, lm, mixing, mtree, neardup, quality, sharding
 from .common import table
 
 
@@ -40,6 +40,10 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.op8(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.op10(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ QUERIES = {
     "op6_near_duplicates": op6_near_duplicates,
     "op7_language_model": op7_language_model,
     "op8_decontaminate": op8_decontaminate,
+    "op9_main_text": op9_main_text,
     "op10_license_scan": op10_license_scan,
 }
 ORACLE_SQL = {"op5_top_k": mtree.ORACLE_SQL, "op8_decontaminate": decontaminate.ORACLE_SQL}

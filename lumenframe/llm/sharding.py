@@ -58,12 +58,12 @@ def propagate(state: DataFrame, n: int, shards: int) -> DataFrame:
     return state.select("g", "h", "shard", *same).unionByName(gone).unionByName(come).groupBy("g", "h", "shard").agg(F.sum("n").alias("n"), F.sum("moved").alias("moved")).filter("n > 0")
 
 
-def shard(docs: DataFrame, shards: int = 40, rounds: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard(docs: DataFrame, shards: int = 40, rounds: int = 12, id_col: str = "doc_id", text_col: str = "text", keys: bool = False) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard, group_rows, group_shards) for every row of docs, under the law `rows`.
 
     Shards hold counts at most one apart. group_rows: rows with this text; group_shards: shards that hold them (1: no link is cut).
     Null ids and repeated rows are rows like others; a null text equals other null texts; an empty table gives an empty result. Only id_col
-    and text_col are read. The result depends on ids and texts alone, not on the order of rows; equal rows may trade slots.
+    and text_col are read; keys adds the text's hashes g and h. The result depends on ids and texts alone, not on the order of rows; equal rows may trade slots.
     """
     base = written(sized(docs, id_col, text_col), "shard-rows")
     n = base.count()
@@ -93,12 +93,23 @@ def shard(docs: DataFrame, shards: int = 40, rounds: int = 12, id_col: str = "do
     most = linked_groups.select("g", "h", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / F.lit(4096)).cast("long"))).alias("part"))
     lists = most.join(lists, ["g", "h"])
     tied = pieces.join(lists, ["g", "h", "part"]).withColumn("own", own).select(
-        "doc_id", "size", "text_crc32", F.col("own.shard").alias("shard"), (F.col("own.slot0") + F.col("p") - F.col("own.from")).alias("slot"), F.col("rows").alias("group_rows"), F.size("ranges").alias("group_shards")
+        "g", "h", "doc_id", "size", "text_crc32", F.col("own.shard").alias("shard"), (F.col("own.slot0") + F.col("p") - F.col("own.from")).alias("slot"), F.col("rows").alias("group_rows"), F.size("ranges").alias("group_shards")
     )
     left = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
     holes = rooms(state, n, shards).withColumn("from", F.coalesce(F.sum("room").over(left), F.lit(0))).filter("room > 0")
     holes = holes.agg(F.sort_array(F.collect_list(F.struct("from", "shard", "load"))).alias("holes"))
     hole = F.element_at(F.filter("holes", lambda x: x["from"] <= F.col("r")), -1)
     loose = ranked(alone.select("doc_id", "size", "text_crc32", "g", "h"), [], ["g", "h"], F.col("g"), SALTS * 4, "r").crossJoin(F.broadcast(holes)).withColumn("own", hole)
-    loose = loose.select("doc_id", "size", "text_crc32", F.col("own.shard").alias("shard"), (F.col("own.load") + F.col("r") - F.col("own.from")).alias("slot"), F.lit(1).cast("long").alias("group_rows"), F.lit(1).alias("group_shards"))
-    return tied.unionByName(loose).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard"), "group_rows", "group_shards")
+    loose = loose.select("g", "h", "doc_id", "size", "text_crc32", F.col("own.shard").alias("shard"), (F.col("own.load") + F.col("r") - F.col("own.from")).alias("slot"), F.lit(1).cast("long").alias("group_rows"), F.lit(1).alias("group_shards"))
+    return tied.unionByName(loose).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard"), "group_rows", "group_shards", *(("g", "h") if keys else ()))
+
+
+def sharded(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with its columns and two more, shard and slot; equal rows are told apart by number."""
+    same = Window.partitionBy("__id", "__g", "__h")
+    placed = shard(docs, shards, id_col=id_col, text_col=text_col, keys=True).select(F.col("doc_id").alias("__id"), F.col("g").alias("__g"), F.col("h").alias("__h"), "shard", "slot")
+    placed = placed.withColumn("__row", F.row_number().over(same.orderBy("shard", "slot")))
+    text = F.col(text_col)
+    rows = docs.withColumns({"__id": F.col(id_col), "__g": F.xxhash64(text), "__h": F.xxhash64(F.lit(1), text)}).withColumn("__row", F.row_number().over(same.orderBy(F.lit(0))))
+    on = [rows["__id"].eqNullSafe(placed["__id"]), *(rows[c] == placed[c] for c in ("__g", "__h", "__row"))]
+    return rows.join(placed, on).select(*(rows[c] for c in docs.columns), placed["shard"], placed["slot"])
