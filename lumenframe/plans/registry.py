@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import queries as _own
+
+QUERIES = dict(_own.QUERIES)
+ORACLE_SQL = dict(_own.ORACLE_SQL)
