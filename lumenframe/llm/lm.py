@@ -23,7 +23,7 @@ from .langid import held_out
 
 FOLDS, HELD = 7, 2
 #: Bytes of text of a block, about.
-BLOCK = 16 << 20
+BLOCK = 8 << 20
 END, START = np.uint64(0x1B873593CC9E2D51), np.uint64(0x85EBCA6BC2B2AE35)
 LEVELS, BUCKETS = 48, 64
 
