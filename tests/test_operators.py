@@ -1,0 +1,123 @@
+"""Operators against numpy or the definition, on small inputs."""
+
+import math
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lumenframe.operators import cluster, components, filters, histograms, morphology, sequences, spectral, statistics, transport
+
+
+def image(spark, a, img_id=1):
+    return spark.createDataFrame([(img_id, y, x, int(a[y, x])) for y in range(a.shape[0]) for x in range(a.shape[1])], "img_id int, y int, x int, v int")
+
+
+def array(df, shape):
+    out = np.full(shape, -1.0)
+    for r in df.collect():
+        out[r["y"], r["x"]] = r["v"]
+    return out
+
+
+@pytest.fixture(scope="module")
+def picture():
+    return np.random.default_rng(1).integers(0, 256, (9, 11))
+
+
+def test_constant_stays_constant(spark):
+    flat = np.full((8, 8), 77)
+    for op in (filters.blur3x3, filters.blur5x5, filters.uniform3x3, filters.blur_along5, morphology.median3x3, morphology.opening):
+        assert (array(op(image(spark, flat)), flat.shape) == 77).all()
+
+
+def test_erosion_and_dilation_bound(spark, picture):
+    low, high = array(morphology.erode_cross(image(spark, picture)), picture.shape), array(morphology.dilate_cross(image(spark, picture)), picture.shape)
+    assert (low[1:-1, 1:-1] <= picture[1:-1, 1:-1]).all() and (high[1:-1, 1:-1] >= picture[1:-1, 1:-1]).all()
+
+
+def test_median_is_numpys(spark, picture):
+    got = array(morphology.median3x3(image(spark, picture)), picture.shape)
+    want = np.array([[np.median(picture[y - 1 : y + 2, x - 1 : x + 2]) for x in range(1, 10)] for y in range(1, 8)])
+    assert (got[1:-1, 1:-1] == want).all()
+
+
+def test_mirrors_and_half_frames_undo_themselves(spark, picture):
+    for op in (transport.mirror_x, transport.mirror_y, transport.transpose):
+        assert (array(op(op(image(spark, picture))), picture.shape) == picture).all()
+    assert (array(transport.combine_half_frames(transport.split_half_frames(image(spark, picture))), picture.shape) == picture).all()
+
+
+def test_integral_is_cumulative(spark, picture):
+    assert (array(transport.integral(image(spark, picture)), picture.shape) == picture.cumsum(0).cumsum(1)).all()
+
+
+def test_histogram_keeps_mass(spark, picture):
+    hist = histograms.histogram(image(spark, picture))
+    assert hist.count() == 256 and hist.agg(F.sum("n")).first()[0] == picture.size
+
+
+def test_components(spark):
+    a = np.array([[1, 1, 0, 1], [0, 1, 0, 1], [1, 0, 0, 0], [1, 1, 1, 1]])
+    on = image(spark, a).filter("v = 1").select("img_id", "y", "x")
+    assert components.labelled(on).select("comp").distinct().count() == 3
+    assert components.labelled(on, diagonal=True).select("comp").distinct().count() == 2
+    assert sorted(r["m"] for r in components.moments(components.labelled(on)).collect()) == [2, 3, 5]
+
+
+def test_glints_follow_the_sweeps(spark, picture):
+    def sweep(line):
+        out, v = [], 255
+        for p in line:
+            v = p if v > p else v + 1 if v < p else v
+            out.append(v)
+        return np.array(out)
+
+    both = lambda line: np.maximum(sweep(line), sweep(line[::-1])[::-1])
+    want = np.maximum(np.array([both(r) for r in picture]), np.array([both(c) for c in picture.T]).T)
+    assert (array(components.glints_removed(image(spark, picture)), picture.shape) == want).all()
+
+
+def test_transforms(spark):
+    e = np.random.default_rng(2).normal(size=8)
+    vec = spark.createDataFrame([(1, i, float(v)) for i, v in enumerate(e)], "vec_id long, i int, e double")
+    f = np.fft.fft(e)
+    for r in spectral.fourier(vec, 8).collect():
+        assert abs(r["re"] - f[r["k"]].real) < 1e-5 and abs(r["im"] - f[r["k"]].imag) < 1e-5
+    w = np.array([r["e"] for r in spectral.walsh(vec, 8).orderBy("k").collect()])
+    assert abs((w**2).sum() - 8 * (e**2).sum()) < 1e-4
+    assert abs(spectral.haar(vec, 3).filter("k = 0").first()["e"] - e.sum()) < 1e-5
+
+
+def test_checksums(spark):
+    texts = ["", "a", "Grüße", None, "x" * 100_000]
+    got = {r["doc_id"]: r for r in spectral.checksums(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        data = (t or "").encode()
+        assert got[i]["crc32"] == zlib.crc32(data) and got[i]["adler32"] == zlib.adler32(data)
+
+
+def test_circle_fit_finds_a_circle(spark):
+    pts = [(1, round(50 + 30 * math.cos(t)), round(40 + 30 * math.sin(t))) for t in np.linspace(0, 6.28, 60)]
+    r = statistics.circle_fit(spark.createDataFrame(pts, "set_id int, x int, y int")).first()
+    assert abs(r["xc"] - 50) < 0.3 and abs(r["yc"] - 40) < 0.3 and abs(r["r"] - 30) < 0.3 and r["off"] < 0.5
+
+
+def test_principal_axes_and_classes(spark):
+    random = np.random.default_rng(3)
+    data = np.vstack([random.normal(0, 1, (60, 4)) * [3, 1, 0.5, 0.2], random.normal(0, 1, (60, 4)) * [0.5, 2, 1, 1] + 6])
+    vec = spark.createDataFrame([(n, int(n >= 60), i, float(data[n, i])) for n in range(120) for i in range(4)], "vec_id long, label int, i int, e double")
+    coef = statistics.principal(vec, 4, 2).groupBy("part").agg(F.var_pop("coef").alias("v")).orderBy("part").collect()
+    want = np.sort(np.linalg.eigvalsh(np.cov(data.T, bias=True)))[::-1]
+    assert [round(r["v"], 3) for r in coef] == [round(x, 3) for x in want[:2]]
+    got = statistics.gaussian_classes(vec, 4)
+    assert got.filter("label = best").count() >= 118
+
+
+def test_single_linkage_and_resampling(spark):
+    pts = spark.createDataFrame([(1, n, x, 0) for n, x in enumerate([0, 2, 4, 20, 21, 50])], "set_id int, n long, x int, y int")
+    assert sorted(r["n"] for r in cluster.cluster_sizes(cluster.single_linkage(pts, 2)).collect()) == [1, 2, 3]
+    seq = spark.createDataFrame([(1, i, float(i * i)) for i in range(5)], "user_id int, i int, value double")
+    got = [r["value"] for r in sequences.resampled(seq, 9, "user_id").orderBy("k").collect()]
+    assert got == [0, 0.5, 1, 2.5, 4, 6.5, 9, 12.5, 16]
