@@ -6,9 +6,9 @@ a df. A sample of ICWS hits the same (shingle, level) in two texts with a probab
 banded; texts that share a band are candidates; a link is a candidate pair whose weighted Jaccard similarity, computed exactly, reaches the
 threshold. Classes are the connected components.
 
-A band's members are not paired with each other. Each is compared with the band's first and last member; components of the links found so far are
-formed; then only members of different components are compared. A group of near copies costs about its size, and no pair that shares a
-band and could join two components is left out.
+A band's members are not paired with each other. Each is compared with three of them, and where that leaves several components, with the
+member that has least of its own; then members of different components are compared if their weights, and what each has alone, leave room for
+a link. A group of near copies costs about its size, and no pair that shares a band and could join two components is left out.
 """
 
 from __future__ import annotations
@@ -217,10 +217,73 @@ def candidates(sigs: DataFrame, bands: int, rows: int) -> DataFrame:
     """(key, node, n): members of the bands that two or more texts share, with the band's size."""
     key = lambda i: F.xxhash64(F.lit(i), *(F.get("sig", F.lit(i * rows + j)) for j in range(rows)))
     members = sigs.select("node", F.explode(F.array(*(key(i) for i in range(bands)))).alias("key"))
-    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).filter("n > 1")
+    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     return members.join(shared, "key")
 
 
+def starred(members: DataFrame) -> DataFrame:
+    """(a, b): each member of a band with three of its members: the first, the last, and the one that shares most places of all its bands.
+
+    Of a group of near copies the last is the one nearest to what they were copied from.
+    """
+    degree = members.groupBy("node").agg(F.sum("n").alias("deg"))
+    ends = members.join(degree, "node").groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.max(F.struct("deg", "node"))["node"].alias("mid"))
+    star = members.join(ends, "key").select("node", F.explode(F.array_distinct(F.array("low", "high", "mid"))).alias("to"))
+    return star.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).filter("a < b").distinct()
+
+
+def masses(vecs: DataFrame) -> DataFrame:
+    """(node, t, u): a text's whole weight, and the weight of its shingles that no other of these texts has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, vec in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                data = vec.as_buffer()
+                n = data.size // 8
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(data, np.int32, n)), pa.array(np.full(n, node)), pa.array(np.frombuffer(data, np.float32, n, 4 * n).astype(np.float64))], names=["sh", "node", "w"])
+
+    rows = vecs.select("node", "vec").mapInArrow(run, "sh int, node long, w double")
+    once = rows.groupBy("sh").agg(F.count(F.lit(1)).alias("n"), F.max("node").alias("node"), F.max("w").alias("w")).filter("n = 1").groupBy("node").agg(F.sum("w").alias("u"))
+    return rows.groupBy("node").agg(F.sum("w").alias("t")).join(once, "node", "left").select("node", "t", F.coalesce("u", F.lit(0.0)).alias("u"))
+
+
+def split_bands(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """(key, node, comp, main): members of the bands that still hold several components; main is the band's largest component."""
+    known = members.filter("n > 2").join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+    counts = known.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
+    split = counts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "comp"))["comp"].alias("main")).filter("parts > 1")
+    return written(known.join(split.select("key", "main"), "key"), "dup-open")
+
+
+def plainest(open_: DataFrame, mass: DataFrame) -> DataFrame:
+    """(a, b): the member of each split band that has the least share of weight alone, with the members of other components.
+
+    What a copy has alone is what was changed in it, so this is the member nearest to what the group was copied from.
+    """
+    rated = open_.join(mass, "node").filter("t > 0").withColumn("alone", F.col("u") / F.col("t"))
+    centre = rated.groupBy("key").agg(F.min(F.struct("alone", "node", "comp")).alias("c")).select("key", F.col("c.node").alias("to"), F.col("c.comp").alias("own"))
+    pairs = rated.select("key", "node", "comp").join(centre, "key").filter("comp <> own")
+    return pairs.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct()
+
+
+def across(open_: DataFrame, mass: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): pairs of a band's members of different components that may still reach the threshold s.
+
+    Two texts of weights t1 <= t2 share at most what neither has alone, so s <= c / (t1 + t2 - c) for c = t1 - u1 and for c = t2 - u2. For either
+    that bounds the other's weight, and pairs are joined by ranges of weight. A copy with many changes of its own thus has no candidates. As
+    one of a pair lies outside the band's largest component, that component isn't joined with itself.
+    """
+    share, step = threshold / (1 + threshold) * (1 - 1e-4), float(np.log(1.06))
+    part = lambda c: F.floor(F.log(c) / step).cast("int")
+    all_ = open_.join(mass, "node").filter("t > 0").withColumn("top", (F.col("t") - F.col("u")) / share - F.col("t"))
+    small = all_.filter("top >= t").select("key", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("t").alias("ta"), F.col("top").alias("ha"), (F.col("comp") != F.col("main")).alias("out_a"), part(F.col("t")).alias("bin"))
+    large = all_.withColumn("low", F.col("t") * threshold * (1 - 1e-4)).withColumn("high", F.least("t", "top")).filter("high >= low")
+    large = large.select("key", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("t").alias("tb"), F.col("high").alias("hb"), (F.col("comp") != F.col("main")).alias("out_b"), F.explode(F.sequence(part(F.col("low")), part(F.col("high")))).alias("bin"))
+    fits = "ca <> cb and ta <= hb and tb <= ha and (ta < tb or a < b)"
+    found = small.filter("out_a").join(large, ["key", "bin"]).filter(fits).select("a", "b").unionByName(small.filter("not out_a").join(large.filter("out_b"), ["key", "bin"]).filter(fits).select("a", "b"))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def glanced(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
     """Pairs whose samples agree often enough to be worth a comparison."""
     left = sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa"))
@@ -242,23 +305,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sigs = written(sampled(texts, idf, bands, rows).dropDuplicates(["node"]), "dup-samples")
     members = written(candidates(sigs, bands, rows), "dup-members")
 
-    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    ends = members.select(*pair("node", "low")).unionByName(members.select(*pair("node", "high"))).filter("a < b").distinct()
-    first = written(glanced(ends, sigs, GLANCE), "dup-pairs")
+    pairs = starred(members)
+    first = written(glanced(pairs, sigs, GLANCE), "dup-pairs")
     vecs = written(vectors(texts.join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), idf), "dup-vectors")
     links = written(verified(first, vecs, threshold), "dup-links")
     comps = components(links)
-
-    # Bands that still hold members of different components: those members are compared, whatever they were compared with before.
-    known = members.filter("n > 2").join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-    split = known.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("key")
-    open_ = written(known.join(split, "key"), "dup-open")
-    other = open_.select("key", F.col("node").alias("node2"), F.col("comp").alias("comp2"))
-    across = open_.join(other, "key").filter("comp <> comp2 and node < node2").select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
-    rest = across.join(ends, ["a", "b"], "left_anti")
-    more = written(verified(glanced(rest, sigs, GLANCE), vecs, threshold), "dup-links")
-    if more.limit(1).count():
-        comps = components(links.unionByName(more))
+    open_ = split_bands(members, comps)
+    if open_.limit(1).count():
+        mass = written(masses(vecs.join(open_.select("node").distinct(), "node", "left_semi")), "dup-masses")
+        near = written(plainest(open_, mass).join(pairs, ["a", "b"], "left_anti"), "dup-pairs")
+        links = written(links.unionByName(verified(glanced(near, sigs, GLANCE), vecs, threshold)), "dup-links")
+        comps = components(links)
+        rest = across(split_bands(members, comps), mass, threshold).join(pairs.unionByName(near), ["a", "b"], "left_anti")
+        # Nearly all that is left here is alike enough to pass a glance at its samples.
+        more = written(verified(rest, vecs, threshold), "dup-links")
+        if more.limit(1).count():
+            comps = components(links.unionByName(more))
     rows_ = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("node")).join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = rows_.groupBy("comp").agg(F.min("doc_id").alias("class_id"))
     return rows_.join(least, "comp").select("doc_id", "node", "class_id")
