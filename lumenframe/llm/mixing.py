@@ -36,7 +36,7 @@ def targets(sizes: DataFrame, weights: list[int] = WEIGHTS, share: float = SHARE
     level of the rest. One row a source.
     """
     words = F.col("size") * F.col("n")
-    per = sizes.groupBy("source").agg(F.sum(words).alias("source_size"), (F.sum(words * F.col("size")) / F.sum(words)).alias("scale"), F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least"))
+    per = sizes.groupBy("source").agg(F.sum(words).alias("source_size"), F.try_divide(F.sum(words * F.col("size")), F.sum(words)).alias("scale"), F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least"))
     place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1  # one row a source
     weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.pmod(place, F.lit(len(weights))) + 1).cast("int"))
     per = per.withColumn("weight", weight).withColumn("most", copies * F.col("source_size").cast("double"))
@@ -58,8 +58,8 @@ def solve(sizes: DataFrame, goals: DataFrame, copies: int = COPIES, most: int =
     """goals with `dual`: damped Newton on each source's dual. A job a step, over the counts; stops when no target is off by more than `near` of it."""
     full = F.col("target") >= copies * F.col("source_size") * (1 - 1e-12)
     high = F.log(F.lit(2.0 * copies)) * F.col("scale") / F.col("least")
-    low = F.log(F.greatest(F.col("target"), F.lit(1e-9)) / F.col("source_size")) * F.col("scale") / F.col("least")
-    state = goals.withColumns({"fixed": full | (F.col("source_size") == 0), "high": F.greatest(high, F.lit(1.0)), "low": F.least(low, F.lit(0.0)) - 1e-6, "dual": F.when(full, F.greatest(high, F.lit(1.0))).otherwise(0.0), "off": F.lit(1.0)})
+    low = F.log(F.try_divide(F.greatest(F.col("target"), F.lit(1e-9)), F.col("source_size"))) * F.col("scale") / F.col("least")
+    state = goals.withColumns({"fixed": full | (F.col("source_size") == 0), "high": F.greatest(high, F.lit(1.0)), "low": F.least(low, F.lit(0.0)) - 1e-6, "dual": F.when(full & (F.col("source_size") > 0), F.greatest(high, F.lit(1.0))).otherwise(0.0), "off": F.lit(1.0)})
     state = written(state, "mix-dual")
     keep = ["source", "source_size", "scale", "least", "target", "fixed"]
     for _ in range(most):

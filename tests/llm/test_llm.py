@@ -141,6 +141,16 @@ def test_mix(docs, rows, empty):
     assert mixing.op3(empty).count() == 0
 
 
+def test_mix_of_sources_without_words(spark):
+    rows = [(1, "", "a"), (2, None, "a"), (3, "x y z", "b"), (4, " ", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in mixing.op3(df).collect()}
+    assert len(got) == 4 and got[1]["target"] == got[2]["target"] == got[4]["target"] == 0 and got[1]["taken"] == 0
+    assert got[3]["source_size"] == 3 and abs(got[3]["target"] - 4.5) < 1e-9 and got[3]["taken"] in (3, 6)
+    only = mixing.op3(df.filter("doc_id < 3")).collect()
+    assert [(r["target"], r["taken"]) for r in only] == [(0, 0), (0, 0)]
+
+
 def test_quality(spark, docs, empty):
     random = np.random.default_rng(1)
     good = lambda: " ".join("".join(random.choice(list("abcdefgh"), 5)) for _ in range(40))
