@@ -86,3 +86,11 @@ def box_features(df: DataFrame, size: int = 8) -> DataFrame:
     sign = {"left_right": F.col("x") < half, "top_bottom": F.col("y") < half, "centre_border": centre, "diagonal": (F.col("x") < half) == (F.col("y") < half)}
     wide = df.groupBy("img_id", "label").agg(*(F.sum(F.when(c, F.col("v")).otherwise(-F.col("v"))).alias(n) for n, c in sign.items()))
     return wide.unpivot(["img_id", "label"], list(sign), "feature", "value")
+
+
+def fixed_functions(df: DataFrame, name: str, one: int = 1 << 20) -> DataFrame:
+    """name with fixed-point functions of it, `one` standing for 1: cosine and power of two of name / one, logarithm to base 2, angle of (name, one)."""
+    c = F.col(name).cast("double")
+    part = (F.col(name) % (8 * one)).cast("double") / one
+    fixed = lambda x, to: F.floor(x * one + 0.5).cast("long").alias(to)
+    return df.select(name, fixed(F.cos(part), "cosine"), fixed(F.pow(F.lit(2.0), part), "power"), fixed(F.log2(c), "logarithm"), fixed(F.atan2(c, F.lit(float(one))), "angle"))

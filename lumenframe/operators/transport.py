@@ -114,3 +114,20 @@ def polar(df: DataFrame, yc: float, xc: float, angles: int, radii: int, first: f
     phi = 2 * math.pi * F.col("y") / angles
     places = images.select("img_id", F.explode(F.sequence(F.lit(0), F.lit(angles - 1))).alias("y")).select("img_id", "y", F.explode(F.sequence(F.lit(0), F.lit(radii - 1))).alias("x"))
     return gathered(df, places.withColumns({"sy": yc + (first + F.col("x")) * F.sin(phi), "sx": xc + (first + F.col("x")) * F.cos(phi)}))
+
+
+def resampled_frames(df: DataFrame, frames: int, shift: int = 0) -> DataFrame:
+    """A sequence of frames (img_id in order) resampled to `frames` frames; first and last meet.
+
+    Rows of a frame are of two half frames, the even ones earlier: output row y of frame f stands at time (2 f + y % 2) of 2 frames - 1 steps and mixes
+    the two source frames around it. shift brightens by twice its value, within 0 to 255.
+    """
+    order = Window.partitionBy("y", "x").orderBy("img_id")
+    src = df.withColumns({"i": F.row_number().over(order) - 1, "b": F.lead("v").over(order), "n": F.count(F.lit(1)).over(Window.partitionBy("y", "x"))})
+    last_half = 2 * frames - 1
+    # Half frame k lies at k (n - 1) / last_half; a source frame answers those of [i, i + 1) that belong to its row.
+    k = F.explode(F.filter(F.sequence(F.expr(f"cast(ceil(i * {last_half}D / greatest(1, n - 1)) as int)"), F.expr(f"cast(least({last_half}, ceil((i + 1) * {last_half}D / greatest(1, n - 1)) - 1) as int)")), lambda h: h % 2 == F.col("y") % 2))
+    inside = src.filter(F.expr(f"ceil(i * {last_half}D / greatest(1, n - 1)) <= least({last_half}, ceil((i + 1) * {last_half}D / greatest(1, n - 1)) - 1)")).withColumn("k", k)
+    f = F.col("k") * (F.col("n") - 1) / F.lit(float(last_half)) - F.col("i")
+    value = F.when(F.col("b").isNull(), F.col("v")).otherwise(F.floor(F.col("v") * (1 - f) + F.col("b") * f + F.lit(0.5 + 1e-9)))
+    return inside.select(F.expr("cast(k div 2 as int)").alias("img_id"), "y", "x", F.least(F.lit(255), F.greatest(F.lit(0), value + 2 * shift)).cast("int").alias("v"))

@@ -229,3 +229,7 @@ QUERIES["checksums"] = lambda spark, sf_dir: spectral.checksums(spark.read.parqu
 image("gaussian_smooth", lambda g: filters.gaussian(g, 1.2).withColumn("v", F.round("v", 6)), """WITH grid AS ({t}), k AS (SELECT unnest(range(-3, 4)) AS d), h AS (SELECT o.img_id, o.y, o.x, sum(n.v * pow(2.71828, -0.5 * pow(d / 1.2, 2))) / sum(pow(2.71828, -0.5 * pow(d / 1.2, 2))) AS v FROM grid o CROSS JOIN k JOIN grid n ON n.img_id = o.img_id AND n.y = o.y AND n.x = o.x + d GROUP BY 1, 2, 3)
 SELECT o.img_id, o.y, o.x, round(sum(n.v * pow(2.71828, -0.5 * pow(d / 1.2, 2))) / sum(pow(2.71828, -0.5 * pow(d / 1.2, 2))), 6) AS v FROM h o CROSS JOIN k JOIN h n ON n.img_id = o.img_id AND n.x = o.x AND n.y = o.y + d GROUP BY 1, 2, 3""")
 image("diffusion", lambda g: filters.diffuse(g, 8.0, 0.2, 1).withColumn("v", F.round("v", 6)), "WITH grid AS ({t}), k(dy, dx) AS (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) SELECT o.img_id, o.y, o.x, round(o.v + 0.2 * sum((n.v - o.v) * exp(-abs(n.v - o.v) / 64.0)), 6) AS v FROM grid o CROSS JOIN k JOIN grid n ON n.img_id = o.img_id AND n.y = o.y + dy AND n.x = o.x + dx GROUP BY o.img_id, o.y, o.x, o.v")
+image("resample_frames", lambda g: transport.resampled_frames(g, 5, 3), """WITH grid AS ({t}), s AS (SELECT dense_rank() OVER (ORDER BY img_id) - 1 AS i, y, x, v FROM grid), n AS (SELECT max(i) AS e FROM s), o AS (SELECT k, CAST(k * e AS DOUBLE) / 9 AS p FROM n CROSS JOIN (SELECT unnest(range(10)) AS k))
+SELECT CAST(k // 2 AS INTEGER) AS img_id, a.y, a.x, CAST(least(255, greatest(0, floor(a.v + (p - floor(p)) * coalesce(b.v - a.v, 0) + 0.5 + 1e-9) + 6)) AS INTEGER) AS v FROM o JOIN s a ON a.i = floor(p) AND a.y % 2 = k % 2 LEFT JOIN s b ON b.i = a.i + 1 AND b.y = a.y AND b.x = a.x""")
+QUERIES["fixed_functions"] = lambda spark, sf_dir: spectral.fixed_functions(spark.read.parquet(f"{sf_dir}/orders.parquet").filter("o_orderkey > 0"), "o_orderkey")
+ORACLE_SQL["fixed_functions"] = "WITH o AS (SELECT o_orderkey, CAST(o_orderkey AS DOUBLE) AS c, CAST(o_orderkey % 8388608 AS DOUBLE) / 1048576 AS p FROM orders WHERE o_orderkey > 0) SELECT o_orderkey, CAST(floor(cos(p) * 1048576 + 0.5) AS BIGINT) AS cosine, CAST(floor(pow(2.0::DOUBLE, p) * 1048576 + 0.5) AS BIGINT) AS power, CAST(floor(log2(c) * 1048576 + 0.5) AS BIGINT) AS logarithm, CAST(floor(atan2(c, 1048576::DOUBLE) * 1048576 + 0.5) AS BIGINT) AS angle FROM o"
