@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,17 +123,31 @@ def principal(vec: DataFrame, dims: int, parts: int) -> DataFrame:
 
 
 def gaussian_classes(vec: DataFrame, dims: int) -> DataFrame:
-    """(vec_id, label, best, dist): the class of least Mahalanobis distance, each class with its own mean and covariance over `dims` dimensions."""
+    """(vec_id, label, best, dist): the class of least Mahalanobis distance, each class with its own mean and covariance over `dims` dimensions.
+
+    A class of too few samples to span all dimensions has a singular covariance; its inverse is the pseudo-inverse, blind to the directions
+    in which the class doesn't vary. Means and dims^2 products a class reach the driver, whatever the samples.
+    """
     few = vec.filter(F.col("i") < dims)
     rows = few.groupBy("vec_id", "label").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "e"))), lambda p: p["e"]).alias("v"))
-    at = [F.get("v", F.lit(i)) for i in range(dims)]
-    stats = rows.groupBy("label").agg(*(F.avg(at[i]).alias(f"m{i}") for i in range(dims)), *(F.covar_pop(at[i], at[j]).alias(f"c{i}_{j}") for i in range(dims) for j in range(dims))).collect()  # a row a class
-    model = []
-    for r in stats:
-        inverse = np.linalg.pinv(np.array([[r[f"c{i}_{j}"] for j in range(dims)] for i in range(dims)]))
-        model.append((r["label"], [float(r[f"m{i}"]) for i in range(dims)], [float(x) for x in inverse.reshape(-1)]))
-    table = vec.sparkSession.createDataFrame(model, "k int, mean array<double>, inv array<double>")
-    d = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.get("v", i) - F.get("mean", i))
-    dist = sum((F.get("d", F.lit(i)) * F.get("d", F.lit(j)) * F.get("inv", F.lit(i * dims + j)) for i in range(dims) for j in range(dims)), F.lit(0.0))
-    scored = rows.crossJoin(F.broadcast(table)).withColumn("d", d).withColumn("dist", F.round(dist, 9))
-    return scored.groupBy("vec_id", "label").agg(F.min(F.struct("dist", "k")).alias("b")).select("vec_id", "label", F.col("b.k").alias("best"), F.round("b.dist", 6).alias("dist"))
+    pair = rows.select("label", F.posexplode("v").alias("i", "a"), "v").select("label", "i", "a", F.posexplode("v").alias("j", "b")).filter("i <= j")
+    stats = pair.groupBy("label", "i", "j").agg(F.avg("a").alias("m"), F.covar_pop("a", "b").alias("c")).toPandas()
+    labels = np.unique(stats["label"].to_numpy())
+    at, i, j = np.searchsorted(labels, stats["label"].to_numpy()), stats["i"].to_numpy(), stats["j"].to_numpy()
+    cov, means = np.zeros((len(labels), dims, dims)), np.zeros((len(labels), dims))
+    cov[at, i, j] = cov[at, j, i] = stats["c"].to_numpy()
+    means[at[i == j], i[i == j]] = stats["m"].to_numpy()[i == j]
+    sent = vec.sparkSession.sparkContext.broadcast((labels, means, np.linalg.pinv(cov, rcond=1e-10, hermitian=True) if len(labels) else cov))
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, mean, inverse = sent.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            v = np.array(batch.column(2).to_pylist(), np.float64)
+            dist = np.round(np.stack([np.einsum("ni,ij,nj->n", v - m, x, v - m, optimize=True) for m, x in zip(mean, inverse, strict=True)], 1), 9)
+            best = dist.argmin(1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names[best].astype(np.int32)), pa.array(np.round(dist[np.arange(len(v)), best], 6))], names=["vec_id", "label", "best", "dist"])
+
+    kind = {f.name: f.dataType.simpleString() for f in vec.schema.fields}
+    return rows.mapInArrow(nearest, f"vec_id {kind['vec_id']}, label {kind['label']}, best int, dist double")

@@ -208,9 +208,12 @@ add("equivalent_ellipse", "points", lambda p: components.ellipses(statistics.poi
 add("class_means", "vec", statistics.class_means, "WITH vec AS ({t}) SELECT label, i, round(avg(e), 9) AS mean FROM vec GROUP BY 1, 2")
 add("cov_total", "vec", lambda v: statistics.products(v, 12, False), "WITH vec AS ({t}) SELECT a.i, b.i AS j, round(count(*) * sum(a.e * b.e) - sum(a.e) * sum(b.e), 6) AS c FROM vec a JOIN vec b ON a.vec_id = b.vec_id WHERE a.i < 12 AND b.i < 12 GROUP BY 1, 2")
 add("cov_within", "vec", lambda v: statistics.products(v, 12, True), "WITH vec AS ({t}), k AS (SELECT a.label, a.i, b.i AS j, count(*) * sum(a.e * b.e) - sum(a.e) * sum(b.e) AS c FROM vec a JOIN vec b ON a.vec_id = b.vec_id WHERE a.i < 12 AND b.i < 12 GROUP BY 1, 2, 3) SELECT i, j, round(sum(c), 6) AS c FROM k GROUP BY 1, 2")
+# The SQL of cov_total and cov_within states 12 of the 64 components; these two have all.
+add("cov_total_all", "vec", lambda v: statistics.products(v, 64, False), None)
+add("cov_within_all", "vec", lambda v: statistics.products(v, 64, True), None)
 add("matmul_abt", "vec", lambda v: statistics.multiply(v.groupBy(F.col("label").alias("i"), F.col("i").alias("j")).agg(F.sum("e").alias("a")), v.groupBy(F.col("label").alias("i"), F.col("i").alias("j")).agg(F.max("e").alias("a"))), "WITH vec AS ({t}), a AS (SELECT label AS i, i AS k, sum(e) AS a, max(e) AS b FROM vec GROUP BY 1, 2) SELECT p.i, q.i AS j, round(sum(p.a * q.b), 6) AS a FROM a p JOIN a q ON p.k = q.k GROUP BY 1, 2")
-add("pca_expand", "vec", lambda v: statistics.principal(v, 16, 4), None)
-add("ndc_classify", "vec", lambda v: statistics.gaussian_classes(v, 4), None)
+add("pca_expand", "vec", lambda v: statistics.principal(v, 64, 4), None)
+add("ndc_classify", "vec", lambda v: statistics.gaussian_classes(v, 64), None)
 
 # --- transforms, quality, whole numbers
 add("dft", "vec", lambda v: spectral.fourier(v, 64), "WITH vec AS ({t}) SELECT vec_id, CAST(k AS INTEGER) AS k, round(sum(e * cos(-2 * pi() / 64 * ((k * i) % 64))), 6) AS re, round(sum(e * sin(-2 * pi() / 64 * ((k * i) % 64))), 6) AS im FROM vec CROSS JOIN (SELECT unnest(range(64)) AS k) GROUP BY 1, 2")

@@ -121,3 +121,25 @@ def test_single_linkage_and_resampling(spark):
     seq = spark.createDataFrame([(1, i, float(i * i)) for i in range(5)], "user_id int, i int, value double")
     got = [r["value"] for r in sequences.resampled(seq, 9, "user_id").orderBy("k").collect()]
     assert got == [0, 0.5, 1, 2.5, 4, 6.5, 9, 12.5, 16]
+
+
+def test_vector_queries_use_all_components(spark):
+    from lumenframe.plans import registry
+
+    sf = "/root/testdata/sf0.001"
+    table = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "label", "embedding").orderBy("vec_id").toPandas()
+    x, label = np.array(table["embedding"].tolist(), np.float64), table["label"].to_numpy()
+    dims = x.shape[1]
+    total = len(x) * x.T @ x - np.outer(x.sum(0), x.sum(0))
+    classes = {k: x[label == k] for k in np.unique(label)}
+    within = sum(len(c) * c.T @ c - np.outer(c.sum(0), c.sum(0)) for c in classes.values())
+    for name, want in (("cov_total_all", total), ("cov_within_all", within)):
+        got = registry.QUERIES[name](spark, sf).toPandas()
+        assert len(got) == dims * dims and np.allclose(got["c"], want[got["i"], got["j"]], rtol=1e-9, atol=1e-5)
+    axes = np.linalg.eigh(total)[1][:, ::-1][:, :4]
+    axes = axes * np.sign(axes[np.abs(axes).argmax(0), range(4)])
+    got = registry.QUERIES["pca_expand"](spark, sf).toPandas().sort_values(["vec_id", "part"])["coef"].to_numpy().reshape(-1, 4)
+    assert np.allclose(got, (x - x.mean(0)) @ axes, atol=1e-5)
+    away = np.stack([np.sum(((x - c.mean(0)) @ np.linalg.pinv(np.cov(c.T, bias=True), rcond=1e-10, hermitian=True)) * (x - c.mean(0)), axis=1) for c in classes.values()], 1)
+    got = registry.QUERIES["ndc_classify"](spark, sf).toPandas().sort_values("vec_id")
+    assert len(got) == len(x) and np.allclose(got["dist"], away.min(1), rtol=1e-5) and (got["best"].to_numpy() == np.array(list(classes))[away.argmin(1)]).all()
