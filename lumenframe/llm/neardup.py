@@ -293,9 +293,9 @@ def glanced(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, node, class_id) for every row of docs: class_id is the least doc_id of its class.
+    """(doc_id, node, comp, class_id) for every row of docs: class_id is the least doc_id of its class.
 
-    node is the 64-bit hash of the text: equal texts are one node and so one class; a null text is a node of its own. Texts without a word
+    comp is the class itself: the least node in it. Where ids are null or repeat, different classes may have one class_id. node is the 64-bit hash of the text: equal texts are one node and so one class; a null text is a node of its own. Texts without a word
     are linked to equal texts only. A null id is larger than others: a class of null ids alone has a null class_id. An empty table gives an
     empty result. Only id_col and text_col are read.
     """
@@ -323,7 +323,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             comps = components(links.unionByName(more))
     rows_ = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("node")).join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = rows_.groupBy("comp").agg(F.min("doc_id").alias("class_id"))
-    return rows_.join(least, "comp").select("doc_id", "node", "class_id")
+    return rows_.join(least, "comp").select("doc_id", "node", "comp", "class_id")
 
 
 def op6(docs: DataFrame) -> DataFrame:
@@ -332,7 +332,7 @@ def op6(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each class: one that has the class's least id; columns unchanged."""
-    kept = near_duplicates(docs, id_col, text_col).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("node").alias("__node"))
+    kept = near_duplicates(docs, id_col, text_col).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("comp", "class_id").agg(F.min("node").alias("__node"))
     rows = docs.withColumn("__of", F.xxhash64(text_col)).withColumn("__id", F.col(id_col))
     number = F.row_number().over(Window.partitionBy("__id", "__of").orderBy(F.lit(0)))
     met = rows.join(kept, rows["__id"].eqNullSafe(kept["class_id"]) & (rows["__of"] == kept["__node"])).withColumn("__row", number).filter("__row = 1")

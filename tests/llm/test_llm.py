@@ -246,6 +246,15 @@ def test_near_duplicates(docs, rows, empty):
     assert neardup.op6(empty).count() == 0 and neardup.deduplicated(empty).count() == 0
 
 
+def test_classes_of_null_and_repeated_ids_stay_apart(spark):
+    random = np.random.default_rng(6)
+    text = lambda: " ".join("".join(random.choice(list("abcdefgh"), 6)) for _ in range(30))
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [(None, a), (None, b), (None, c), (None, c), (None, None), (7, d), (7, e), (8, d), (9, a + " more"), (5, "x " + b)]
+    kept = neardup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter([(9, a + " more"), (5, "x " + b), (None, c), (None, None), (7, d), (7, e)])
+
+
 def test_samples_estimate_weighted_similarity():
     random = np.random.default_rng(4)
     a = random.choice(400, 300, replace=False)
