@@ -192,23 +192,26 @@ def verified(pairs: DataFrame, vecs: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "va", "vb").mapInArrow(run, "a long, b long")
 
 
-def components(links: DataFrame, most: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, comp) for the nodes of links (a, b): comp is the least node of the connected component.
 
-    Each round a node takes the least label around it and then the label of that label, so paths shorten by half; a written table a round.
+    Each round a node and the node it was named after both take the least label around the first, then the label of that label; a written
+    table a round. As whole regions move with the node they are named after, rounds stay few in any order of nodes. Ends when nothing moves.
     """
     both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "dup-links")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("comp")), "dup-labels")
-    for _ in range(most):
+    moved = True
+    while moved:
         near = both.join(labels.select(F.col("node").alias("b"), F.col("comp").alias("c")), "b").groupBy("a").agg(F.min("c").alias("c"))
         step = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("comp").alias("old"), F.least("comp", "c").alias("mid"))
-        jump = labels.select(F.col("node").alias("mid"), F.col("comp").alias("far"))
-        new = written(step.join(jump, "mid", "left").select("node", "old", F.least("mid", F.coalesce("far", "mid")).alias("comp")), "dup-labels")
+        named = step.filter("mid < old").groupBy(F.col("old").alias("node")).agg(F.min("mid").alias("hook"))
+        hooked = written(step.join(named, "node", "left").select("node", "old", F.least("mid", F.coalesce("hook", "mid")).alias("mid")), "dup-hooks")
+        jump = hooked.select(F.col("node").alias("mid"), F.col("mid").alias("far"))
+        new = written(hooked.join(jump, "mid", "left").select("node", "old", F.least("mid", F.coalesce("far", "mid")).alias("comp")), "dup-labels")
         dropped(labels)
-        moved = new.filter("old <> comp").limit(1).count()
+        dropped(hooked)
+        moved = new.filter("old <> comp").limit(1).count() > 0
         labels = new.select("node", "comp")
-        if not moved:
-            break
     dropped(both)
     return labels
 

@@ -255,6 +255,13 @@ def test_classes_of_null_and_repeated_ids_stay_apart(spark):
     assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter([(9, a + " more"), (5, "x " + b), (None, c), (None, None), (7, d), (7, e)])
 
 
+def test_components_of_a_long_path_in_random_order(spark):
+    node = [int(x) for x in np.random.default_rng(7).permutation(1000)]
+    links = spark.createDataFrame([(x, y) for k, (x, y) in enumerate(zip(node, node[1:])) if k != 699], "a long, b long")
+    got = {r["node"]: r["comp"] for r in neardup.components(links).collect()}
+    assert got == {x: min(part) for part in (node[:700], node[700:]) for x in part}
+
+
 def test_samples_estimate_weighted_similarity():
     random = np.random.default_rng(4)
     a = random.choice(400, 300, replace=False)
