@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 from lumenframe.llm import decontaminate, langid, mixing, neardup, sharding
 from lumenframe.llm.common import dropped, table, written
 
-#: A document stays if its main language makes up this share of it; texts without letters have none.
+#: A document stays if its main language makes up this share of it; texts without letters have none. Even mixes of four languages fall short of it.
 LEAST_SHARE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a known main language. Null texts and texts without a letter go."""
+    """Documents of a known main language. Null texts, texts without a letter and mixes whose largest share is under LEAST_SHARE go."""
     own = tuple(docs.columns)
     found = langid.identify(docs.select(*(F.col(c).alias(f"d_{c}") for c in own)), langid.fit(docs), "d_doc_id", "d_text", keep=tuple(f"d_{c}" for c in own))
     return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(*(F.col(f"d_{c}").alias(c) for c in own))

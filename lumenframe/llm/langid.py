@@ -1,8 +1,8 @@
 """Language identification as mixture inference.
 
 A word is a draw from one language; its likelihood there is that of its byte trigrams, spaces at both ends. Expectation-maximisation estimates
-each document's language proportions from its words' likelihoods. The language set is chosen among the best one, two and three languages by
-likelihood less a penalty for each language beyond the first.
+each document's language proportions from its words' likelihoods. The language set is chosen among the best one, two and more languages, up to all
+that were learned, by likelihood less a penalty for each language beyond the first.
 """
 
 from __future__ import annotations
@@ -106,11 +106,11 @@ def infer(data: np.ndarray, offsets: np.ndarray, logp: np.ndarray, penalty: floa
     share = proportions(like, first, of, even, steps)
     order = np.argsort(-share, axis=1, kind="stable")
     alone = np.add.reduceat(np.log(like), first, axis=0)
-    # The best single language is the one of largest likelihood; sets of two and three are the largest shares.
+    # The best single language is the one of largest likelihood; sets of two and more are the largest shares.
     best = alone.argmax(1)
     value, chosen = alone[np.arange(len(seen)), best].astype(np.float64), np.zeros_like(share)
     chosen[np.arange(len(seen)), best] = 1.0
-    for size in range(2, min(3, langs) + 1):
+    for size in range(2, langs + 1):
         allowed = np.zeros_like(share)
         np.put_along_axis(allowed, order[:, :size], np.maximum(np.take_along_axis(share, order[:, :size], 1), 1e-4), 1)
         own = proportions(like, first, of, allowed / allowed.sum(1, keepdims=True), steps // 2)

@@ -93,6 +93,22 @@ def test_language_proportions():
     assert top.tolist() == [0, 0] and abs(share[0, 1] - 0.4) < 0.02 and share[1].tolist() == [1, 0]
 
 
+def test_language_mix_of_four(spark):
+    import corpus_pipeline
+
+    random = np.random.default_rng(8)
+    letters = ["abde", "fghi", "jklm", "nopr"]
+    vocab = [["".join(random.choice(list(x), 5)) for _ in range(60)] for x in letters]
+    text = lambda *n: " ".join(w for k, m in enumerate(n) for w in random.choice(vocab[k], m))
+    rows = [(i, text(*(40 * (k == i % 4) for k in range(4))), "ABCD"[i % 4]) for i in range(200)] + [(1000, text(50, 50, 50, 50), None), (1001, text(80, 40, 40, 40), None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    mixed = {r["doc_id"]: r for r in langid.identify(df).filter("doc_id >= 1000").collect()}
+    for i, want in ((1000, [0.25] * 4), (1001, [0.2, 0.2, 0.2, 0.4])):
+        assert sorted(mixed[i]["languages"]) == list("ABCD") and np.allclose(sorted(mixed[i]["shares"]), want, atol=0.02)
+    kept = {r["doc_id"] for r in corpus_pipeline.language(spark, df, "").collect()}
+    assert 1000 not in kept and 1001 in kept and len(kept) == 201
+
+
 def test_shards(docs, rows, empty):
     got = sharding.shard(docs, 7).toPandas()
     assert len(got) == len(rows) and set(got["law"]) == {"rows"}
