@@ -25,7 +25,8 @@ FOLDS, HELD = 7, 2
 #: Bytes of text of a block, about.
 BLOCK = 8 << 20
 END, START = np.uint64(0x1B873593CC9E2D51), np.uint64(0x85EBCA6BC2B2AE35)
-LEVELS, BUCKETS = 48, 64
+# Half powers of two up to 2^63, so no count is cut.
+LEVELS, BUCKETS = 128, 64
 
 
 def pack(values: np.ndarray) -> bytes:

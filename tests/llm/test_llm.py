@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -319,6 +320,18 @@ def test_language_model_sums_to_one(spark):
     assert all(r["score"] > r["base_score"] - 3 for r in got.values())
 
 
+def test_language_model_weights_do_not_depend_on_scale():
+    def weights(scale):
+        rows = [(1000.0, 2.0**r, scale * 2.0**c, n) for r, c, n in ((1, 14, 500), (3, 18, 300), (0, 19, 200), (0, 12, 100))]
+        ratio, count = lm.level(np.array([x[1] for x in rows]) * (np.array([x[1] for x in rows]) > 1)), lm.level(np.array([x[2] for x in rows]))
+        cell = (lm.bucket(np.array([x[0] for x in rows])) * lm.LEVELS + ratio) * lm.LEVELS + count
+        out = lm.learn(pd.DataFrame({"cell": cell, "n": [x[3] for x in rows], "total": scale * 2.0**21, "distinct": 1e5}))
+        return np.frombuffer(out["weights"][0]).reshape(-1, 3)
+
+    assert lm.level(np.array([2.0**26, 2.0**40, 2.0**62])).tolist() == [53, 81, 125]
+    assert np.allclose(weights(1.0), weights(2.0**12), atol=1e-4)
+
+
 def brute_hits(text, items):
     w, hit, ids = words(text), set(), set()
     for item, t in items:
