@@ -25,7 +25,7 @@ BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul".split()
 )
-RAW = frozenset("script style textarea noscript template iframe svg math object canvas audio video noframes noembed xmp".split())
+RAW = frozenset("script style textarea iframe noframes noembed xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that an opening tag of the same row closes.
 CLOSES = {
@@ -105,8 +105,10 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
                 if tag in CLOSES:
                     pop(CLOSES[tag])
             hints = tuple(dict.fromkeys("." + x for h in HINT.findall(attributes) for x in PART.findall("".join(h).lower()))) if attributes else ()
-            stack.append((tag, hints))
-            links += tag == "a"
+            # In drawings and formulas a slash closes an element.
+            if tag in BLOCKS or not attributes.endswith("/") or not any(t in ("svg", "math") for t in (tag, *(t for t, _ in stack))):
+                stack.append((tag, hints))
+                links += tag == "a"
     flush()
     return out
 

@@ -368,6 +368,16 @@ def test_main_text(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+def test_only_raw_text_runs_to_the_end_of_a_page():
+    for tag in ("video src=x", "audio src=x", "svg width=1", "math", "object data=x", "canvas", "noscript", "template"):
+        found = [t for t, _, _ in html.blocks(f"<article><p>One.</p><{tag}><p>Two.</p><p>Three.</p></article><footer>End</footer>")]
+        assert found == ["One.", "Two.", "Three.", "End"], tag
+    found = html.blocks("<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> and <object data=y>a picture</object> <svg><path d='M0'/><text>b</text></svg>.</p><p>Next.")
+    assert [t for t, _, _ in found] == ["Let x=1 and a picture b.", "Next."]
+    for tag in ("script", "style", "textarea", "iframe", "xmp", "noembed", "noframes"):
+        assert [t for t, _, _ in html.blocks(f"<p>One.</p><{tag}><p>Two.</p>")] == ["One."]
+
+
 def test_labeller_on_new_pages():
     net = html.trained()
     found = html.examples(60, 1234)
