@@ -1,8 +1,9 @@
 """Near-duplicate classes by improved consistent weighted sampling (ICWS) over TF-IDF word shingles.
 
 A text is the set of its shingles of five words with weight tf * idf, idf being the mean over the five words of log((N + 1) / (df + 1)) + 1.
-Word document frequencies cover all documents; they are kept by hash of the word in a table of fixed size, so words that share a slot share
-a df. A sample of ICWS hits the same (shingle, level) in two texts with a probability equal to their weighted Jaccard similarity. Samples are
+Word document frequencies are exact and cover all documents, words being told apart by 64-bit hashes. They grow with the corpus, so they are neither
+broadcast nor collected: documents are dealt to blocks of bounded size, a block sends its distinct words cut by hash range, a range adds up what all
+blocks sent and answers each with the idf of its words. A sample of ICWS hits the same (shingle, level) in two texts with a probability equal to their weighted Jaccard similarity. Samples are
 banded; texts that share a band are candidates; a link is a candidate pair whose weighted Jaccard similarity, computed exactly, reaches the
 threshold. Classes are the connected components.
 
@@ -13,21 +14,22 @@ a link. A group of near copies costs about its size, and no pair that shares a b
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
 from .common import dropped, written
+from .lm import pack, pack_keys, unpack, unpack_keys
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: Two texts of similarity 0.8 share one of 10 bands of 3 samples with probability 0.9992.
 BANDS, ROWS = 10, 3
-SLOTS = 1 << 18
-SLICES = 16
+#: Bytes of text of a block, about.
+BLOCK = 8 << 20
 #: Pairs of whose samples less than this share agree aren't compared further; at similarity 0.8 that happens once in 10^7 pairs.
 GLANCE = 0.4
 
@@ -47,20 +49,20 @@ def _gamma_tables() -> tuple[np.ndarray, np.ndarray]:
 _tables: list = []
 
 
-def word_slots(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, its document): lower-cased words of letters and digits."""
     gap, low = tb.table(tb.NOT_ALNUM)
     starts, ends, doc = tb.spans(~gap[data], offsets)
     return tb.hashes(low[data], starts, ends), doc
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray, idf: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def shingles(data: np.ndarray, offsets: np.ndarray, idf: Callable[[np.ndarray], np.ndarray], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, shingle, weight), sorted by document and shingle; a text of fewer words is one shingle of all its words."""
-    words, doc = word_slots(data, offsets)
+    words, doc = word_hashes(data, offsets)
     n = len(words)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.float32)
-    value = idf[(words & np.uint64(len(idf) - 1)).astype(np.int64)]
+    value = idf(words)
     padded = np.concatenate([words, np.zeros(size - 1, np.uint64)])
     values = np.concatenate([value, np.zeros(size - 1, np.float32)])
     docs = np.concatenate([doc, np.full(size - 1, -1)])
@@ -109,62 +111,90 @@ def icws(doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray, samples: int)
     return seen, out
 
 
-def document_frequencies(texts: DataFrame, slots: int = SLOTS) -> tuple[int, np.ndarray]:
-    """(documents, documents with a word in each slot) over all texts; each task sends one table, in slices that are added up apart."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros(slots, np.int64), 0
-        for batch in batches:
-            n += batch.num_rows
-            for _, _, data, offsets in tb.pieces(*tb.strings(batch.column(0))):
-                words, doc = word_slots(data, offsets)
-                pair = np.unique(doc * slots + (words & np.uint64(slots - 1)).astype(np.int64))
-                df += np.bincount(pair % slots, minlength=slots)
-        if n:
-            yield pa.RecordBatch.from_pydict({"slice": np.arange(SLICES, dtype=np.int32), "n": np.full(SLICES, n, np.int64), "df": [x.astype(np.int32).tobytes() for x in df.reshape(SLICES, -1)]})
-
-    def add(key, rows):  # a pyarrow table for a slice
-        df = sum((np.frombuffer(x.as_buffer(), np.int32).astype(np.int64) for x in rows["df"]), np.zeros(slots // SLICES, np.int64))
-        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([sum(rows["n"].to_pylist())], pa.int64()), "df": pa.array([df.tobytes()], pa.binary())})
-
-    rows = texts.mapInArrow(count, "slice int, n long, df binary").groupBy("slice").applyInArrow(add, "slice int, n long, df binary").collect()  # SLICES rows
-    rows.sort()
-    if not rows:
-        return 0, np.zeros(slots, np.int64)
-    return rows[0]["n"], np.concatenate([np.frombuffer(r["df"], np.int64) for r in rows])
+def frequencies(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct words, ascending, and the documents that have each) of a block's texts."""
+    keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for _, _, data, offsets in tb.pieces(*tb.strings(column)):
+        words, doc = word_hashes(data, offsets)
+        found, of = np.unique(words, return_inverse=True)
+        keys.append(found)
+        counts.append(np.bincount(np.unique(of * len(offsets) + doc) // len(offsets), minlength=len(found)))
+    all_, of = np.unique(np.concatenate(keys), return_inverse=True)
+    return all_, np.bincount(of, weights=np.concatenate(counts), minlength=len(all_)).astype(np.uint32)
 
 
 def inverse(n: int, df: np.ndarray) -> np.ndarray:
     return (np.log((n + 1.0) / (df + 1.0)) + 1.0).astype(np.float32)
 
 
-def sampled(texts: DataFrame, idf, bands: int, rows: int) -> DataFrame:
-    """(node, sig): the samples of each text that has words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nodes = batch.column(0).to_numpy(zero_copy_only=False)
-            for i, _, data, offsets in tb.pieces(*tb.strings(batch.column(1))):
-                doc, sig = icws(*shingles(data, offsets, idf.value), bands * rows) if len(data) else (np.zeros(0, np.int64), np.zeros((0, bands * rows), np.int32))
-                values = pa.ListArray.from_arrays(np.arange(len(doc) + 1, dtype=np.int32) * (bands * rows), sig.reshape(-1))
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[i + doc], pa.int64()), values], names=["node", "sig"])
-
-    return texts.mapInArrow(run, "node long, sig array<int>")
-
-
-def vectors(texts: DataFrame, idf) -> DataFrame:
-    """(node, vec): shingles (their upper 32 bits, ascending) and weights of each text, as bytes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, _, data, offsets in tb.pieces(*tb.strings(batch.column(1))):
-                doc, shingle, weight = shingles(data, offsets, idf.value)
-                short = (shingle >> np.uint64(32)).astype(np.uint32)
-                cuts = np.searchsorted(doc, np.arange(len(offsets)))
-                vec = [short[a:z].tobytes() + weight[a:z].tobytes() for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(vec)), pa.array(vec, pa.binary())], names=["node", "vec"])
-
-    return texts.mapInArrow(run, "node long, vec binary")
+def word_weights(rows: DataFrame, blocks: int, n: int) -> DataFrame:
+    """(block, part, keys, idf): the distinct words of each block's texts, cut by hash range, and their idf over all n documents of rows (block, node, text)."""
+    parts = 1 << max(0, (blocks - 1).bit_length())
+    shift = np.uint64(64 - parts.bit_length() + 1) if parts > 1 else None
+
+    def ask(key, block):
+        keys, counts = frequencies(block["text"])
+        of = (keys >> shift).astype(np.int64) if shift is not None else np.zeros(len(keys), np.int64)
+        cuts = np.searchsorted(of, np.arange(parts + 1))
+        some = [(p, a, z) for p, a, z in zip(range(parts), cuts[:-1], cuts[1:], strict=True) if a < z]
+        return pa.table({"part": pa.array([p for p, _, _ in some], pa.int32()), "block": pa.array([key[0].as_py()] * len(some), pa.int32()), "keys": pa.array([pack_keys(keys[a:z]) for _, a, z in some], pa.binary()), "counts": pa.array([pack(counts[a:z]) for _, a, z in some], pa.binary())})
+
+    def answer(key, asked):
+        keys = [unpack_keys(x.as_py()) for x in asked["keys"]]
+        _, of = np.unique(np.concatenate(keys), return_inverse=True)
+        idf = inverse(n, np.bincount(of, weights=np.concatenate([unpack(x.as_py(), np.uint32) for x in asked["counts"]])))
+        cuts = np.append(0, np.cumsum([len(k) for k in keys]))
+        told = [pack(idf[of[a:z]]) for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
+        return pa.table({"block": asked["block"], "part": pa.array([key[0].as_py()] * len(told), pa.int32()), "keys": asked["keys"], "idf": pa.array(told, pa.binary())})
+
+    return rows.groupBy("block").applyInArrow(ask, "part int, block int, keys binary, counts binary").groupBy("part").applyInArrow(answer, "block int, part int, keys binary, idf binary")
+
+
+def told_idf(told: pa.Table) -> Callable[[np.ndarray], np.ndarray]:
+    """The idf of a block's words, from its rows of word_weights."""
+    own = sorted(zip(*(told[c].to_pylist() for c in ("part", "keys", "idf")), strict=True))
+    keys = np.concatenate([np.zeros(0, np.uint64), *(unpack_keys(k) for _, k, _ in own)])
+    idf = np.concatenate([np.zeros(0, np.float32), *(unpack(x, np.float32) for _, _, x in own)])
+    return lambda words: idf[np.searchsorted(keys, words)]
+
+
+def sampled(rows: DataFrame, told: DataFrame, bands: int, size: int) -> DataFrame:
+    """(node, sig, block, part, keys, idf): the samples of each text that has words, and the rows of told, whose node is null."""
+
+    def run(key, block, own):
+        idf, nodes = told_idf(own), block["node"].to_numpy()
+        at, values = [np.zeros(0, np.int64)], [np.zeros((0, bands * size), np.int32)]
+        for i, _, data, offsets in tb.pieces(*tb.strings(block["text"])):
+            if len(data):
+                doc, sig = icws(*shingles(data, offsets, idf), bands * size)
+                at.append(nodes[i + doc])
+                values.append(sig)
+        node, sig = np.concatenate(at), np.concatenate(values)
+        sigs = pa.ListArray.from_arrays(np.arange(len(node) + 1, dtype=np.int32) * (bands * size), sig.reshape(-1))
+        blank = lambda kind, n: pa.nulls(n, kind)
+        n, m = len(node), own.num_rows
+        both = lambda x, y: pa.chunked_array([x, *(y.chunks if isinstance(y, pa.ChunkedArray) else [y])])
+        return pa.table({
+            "node": both(pa.array(node, pa.int64()), blank(pa.int64(), m)), "sig": both(sigs, blank(sigs.type, m)),
+            **{c: both(blank(own[c].type, n), own[c]) for c in ("block", "part", "keys", "idf")},
+        })
+
+    return rows.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, "node long, sig array<int>, block int, part int, keys binary, idf binary")
+
+
+def vectors(rows: DataFrame, told: DataFrame) -> DataFrame:
+    """(node, vec): shingles (their upper 32 bits, ascending) and weights of each text of rows (block, node, text), as bytes."""
+
+    def run(key, block, own):
+        idf, nodes, vec = told_idf(own), block["node"], []
+        for _, _, data, offsets in tb.pieces(*tb.strings(block["text"])):
+            doc, shingle, weight = shingles(data, offsets, idf)
+            short = (shingle >> np.uint64(32)).astype(np.uint32)
+            cuts = np.searchsorted(doc, np.arange(len(offsets)))
+            vec += [short[a:z].tobytes() + weight[a:z].tobytes() for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
+        return pa.table({"node": nodes.cast(pa.int64()), "vec": pa.array(vec, pa.binary())})
+
+    return rows.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, "node long, vec binary")
 
 
 def weighted_jaccard(a: bytes, b: bytes) -> float:
@@ -302,15 +332,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are linked to equal texts only. A null id is larger than others: a class of null ids alone has a null class_id. An empty table gives an
     empty result. Only id_col and text_col are read.
     """
-    spark: SparkSession = docs.sparkSession
-    texts = docs.select(F.xxhash64(text_col).alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    idf = spark.sparkContext.broadcast(inverse(*document_frequencies(texts.select("text"))))  # SLOTS numbers, whatever the corpus
-    sigs = written(sampled(texts, idf, bands, rows).dropDuplicates(["node"]), "dup-samples")
+    total = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(text_col)).alias("bytes")).first()
+    blocks = max(1, -(-(total["bytes"] or 0) // BLOCK))
+    block = F.pmod(F.xxhash64(id_col, text_col), F.lit(blocks)).cast("int").alias("block")
+    texts = docs.select(block, F.xxhash64(text_col).alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    dealt = texts.repartition(blocks, "block")
+    found = written(sampled(dealt, word_weights(dealt, blocks, total["n"]), bands, rows), "dup-sampled")
+    told = found.filter("node is null").select("block", "part", "keys", "idf")
+    sigs = written(found.filter("node is not null").select("node", "sig").dropDuplicates(["node"]), "dup-samples")
     members = written(candidates(sigs, bands, rows), "dup-members")
 
     pairs = starred(members)
     first = written(glanced(pairs, sigs, GLANCE), "dup-pairs")
-    vecs = written(vectors(texts.join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), idf), "dup-vectors")
+    vecs = written(vectors(texts.join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]).select("block", "node", "text"), told), "dup-vectors")
+    dropped(found)
     links = written(verified(first, vecs, threshold), "dup-links")
     comps = components(links)
     open_ = split_bands(members, comps)

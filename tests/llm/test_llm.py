@@ -272,6 +272,33 @@ def test_classes_of_null_and_repeated_ids_stay_apart(spark):
     assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter([(9, a + " more"), (5, "x " + b), (None, c), (None, None), (7, d), (7, e)])
 
 
+def test_weights_in_a_large_vocabulary(spark):
+    random = np.random.default_rng(9)
+    common = [f"c{k}" for k in range(80)]
+    rows = [(i, " ".join(random.permutation(common))) for i in range(200)]
+    for k in range(20):
+        text = list(random.permutation(common)[: 56 if k % 2 else 62])
+        edit = text[:25] + [f"unique{k}"] + text[26:]
+        rows += [(1000 + 2 * k, " ".join(text)), (1001 + 2 * k, " ".join(edit))]
+    filler, n = 400, 400 + len(rows)
+    df = Counter(w for _, t in rows for w in set(t.split()))
+    idf = {w: math.log((n + 1) / (c + 1)) + 1 for w, c in df.items()}
+
+    def vector(t):
+        w = t.split()
+        return Counter({tuple(w[k : k + 5]): sum(idf[x] for x in w[k : k + 5]) / 5 for k in range(len(w) - 4)})
+
+    text, want = dict(rows), set()
+    for k in range(1000, 1040, 2):
+        a, b = vector(text[k]), vector(text[k + 1])
+        if sum((a & b).values()) / sum((a | b).values()) >= 0.8:
+            want.add(k + 1)
+    assert want == {k + 1 for k in range(1000, 1040, 4)}
+    more = spark.range(filler).selectExpr("5000 + id as doc_id", "array_join(transform(sequence(1, 5000), x -> concat('w', id * 5000 + x)), ' ') as text")
+    got = neardup.op6(spark.createDataFrame(rows, "doc_id long, text string").unionByName(more)).filter("class_id <> doc_id").collect()
+    assert {r["doc_id"] for r in got} == want and all(r["class_id"] == r["doc_id"] - 1 for r in got)
+
+
 def test_components_of_a_long_path_in_random_order(spark):
     node = [int(x) for x in np.random.default_rng(7).permutation(1000)]
     links = spark.createDataFrame([(x, y) for k, (x, y) in enumerate(zip(node, node[1:])) if k != 699], "a long, b long")
