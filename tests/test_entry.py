@@ -38,3 +38,13 @@ def test_entry_imports():
 
     assert set(registry.QUERIES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_bench_names():
+    import __spark_entry__ as entry
+    import bench
+
+    found = bench.names(entry.queries())
+    assert len(found) == len(set(found)) and set(bench.HEADLINE) <= set(found) <= set(entry.queries())
+    numbers = [int(m[1]) for n in found if (m := bench.CORPUS.match(n))]
+    assert numbers == sorted(numbers) and "opening" not in found
