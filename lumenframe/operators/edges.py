@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.grid import along, down, at, inner, stencil
+from ..functions.grid import along, at, column, down, inner, row, stencil
 from .components import reached
+from .filters import gaussian
 
 
 def gradient(df: DataFrame, of: str = "v") -> DataFrame:
@@ -33,24 +34,28 @@ def sobel(df: DataFrame, most: int | None = 255) -> DataFrame:
 
 
 def thinned(df: DataFrame) -> DataFrame:
-    """magnitude() of the pixels that are peaks along their gradient, to the nearest of four directions; ties go to the later pixel."""
-    m = magnitude(df)
-    for name, dy, dx in (("n", 0, 1), ("d", 1, 1), ("u", 1, 0), ("b", 1, -1)):
-        if dy == 0:
-            m = m.withColumns({f"{name}0": at("mag", -1, along()), f"{name}1": at("mag", 1, along())})
-        elif dx == 0:
-            m = m.withColumns({f"{name}0": at("mag", -1, down()), f"{name}1": at("mag", 1, down())})
-        else:
-            m = m.withColumn("__l", at("mag", -dx, along())).withColumn("__r", at("mag", dx, along())).withColumns({f"{name}0": at("__l", -1, down()), f"{name}1": at("__r", 1, down())}).drop("__l", "__r")
+    """magnitude() of the pixels that are peaks along their gradient.
+
+    The magnitude is interpolated between the two neighbours that enclose the gradient's direction, one beside the pixel along the longer component
+    and one diagonal; both sides must lie lower. The outer row and column on the near sides and two on the far sides hold no peaks.
+    """
+    m = magnitude(df).withColumns({"l": at("mag", -1, along()), "r": at("mag", 1, along())})
+    m = m.withColumns({k: at(c, by, down()) for k, c, by in (("u", "mag", -1), ("d", "mag", 1), ("ul", "l", -1), ("ur", "r", -1), ("dl", "l", 1), ("dr", "r", 1))})
     ax, ay = F.abs("gx"), F.abs("gy")
-    # 5 : 2 stands for the tangent of 67.5 degrees.
-    axis = F.when(2 * ax >= 5 * ay, F.lit("n")).when(2 * ay >= 5 * ax, F.lit("u")).when(F.col("gx") * F.col("gy") > 0, F.lit("d")).otherwise(F.lit("b"))
-    pick = lambda k: F.when(F.col("axis") == "n", F.col(f"n{k}")).when(F.col("axis") == "u", F.col(f"u{k}")).when(F.col("axis") == "d", F.col(f"d{k}")).otherwise(F.col(f"b{k}"))
-    m = m.withColumn("axis", axis).withColumn("in", inner(1, 1)).withColumns({"p": pick(0), "q": pick(1)})
-    return m.filter(F.col("in") & (F.col("mag") > F.col("p")) & (F.col("mag") >= F.col("q")) & (F.col("mag") > 0)).select("img_id", "y", "x", "gx", "gy", "mag")
+    right, lower, wide = F.col("gx") >= 0, F.col("gy") >= 0, ax >= ay
+    pick = lambda a, b, c, d: F.when(right & lower, F.col(a)).when(right, F.col(b)).when(lower, F.col(c)).otherwise(F.col(d))
+    back, front = F.when(wide, pick("l", "l", "r", "r")).otherwise(pick("u", "d", "u", "d")), F.when(wide, pick("r", "r", "l", "l")).otherwise(pick("d", "u", "d", "u"))
+    slope = lambda near, corner: (near - F.col("mag")) * F.greatest(ax, ay) + (corner - near) * F.least(ax, ay)
+    m = m.withColumns({"p": slope(back, pick("ul", "dl", "ur", "dr")), "q": slope(front, pick("dr", "ur", "dl", "ul")), "ex": F.max("x").over(row()), "ey": F.max("y").over(column())})
+    return m.filter("mag > 0 and p < 0 and q < 0 and x >= 1 and y >= 1 and x < ex - 1 and y < ey - 1").select("img_id", "y", "x", "gx", "gy", "mag")
+
+
+def smoothed(df: DataFrame, sigma: float | Column, most: float | None = None) -> DataFrame:
+    """Gaussian of 90 times the values, rounded. sigma may be a column of at most `most`."""
+    return gaussian(df, sigma, 90.0, most).withColumn("v", F.floor(F.col("v") + 0.5).cast("int"))
 
 
-def thresholds(peaks: DataFrame, low: float, high: float) -> DataFrame:
+def thresholds(peaks: DataFrame, low: float | Column, high: float | Column) -> DataFrame:
     """(img_id, hi, lo): hi is the magnitude below which the share `high` of the peaks lies, at most one below the largest; lo = hi * low, rounded."""
     counts = peaks.groupBy("img_id", "mag").agg(F.count(F.lit(1)).alias("n"))
     up_to = Window.partitionBy("img_id").orderBy("mag").rowsBetween(Window.unboundedPreceding, 0)
@@ -60,11 +65,11 @@ def thresholds(peaks: DataFrame, low: float, high: float) -> DataFrame:
     return found.select("img_id", hi.cast("int").alias("hi"), F.floor(hi * low + 0.5).cast("int").alias("lo"))
 
 
-def canny(df: DataFrame, low: float, high: float) -> DataFrame:
-    """(img_id, y, x, mag): peaks of at least hi, and those above lo that touch them by way of others above lo (8 neighbours)."""
-    peaks = thinned(df)
+def canny(df: DataFrame, sigma: float, low: float, high: float) -> DataFrame:
+    """(img_id, y, x, gx, gy, mag) of the smoothed image: peaks of at least hi, and those above lo that touch them by way of others above lo (8 neighbours)."""
+    peaks = thinned(smoothed(df, sigma))
     marked = peaks.join(thresholds(peaks, low, high), "img_id").filter("mag >= hi or mag > lo")
-    return reached(marked.withColumn("seed", F.col("mag") >= F.col("hi"))).select("img_id", "y", "x", "mag")
+    return reached(marked.withColumn("seed", F.col("mag") >= F.col("hi"))).select("img_id", "y", "x", "gx", "gy", "mag")
 
 
 def edge_points(df: DataFrame, least: int, margin: int) -> DataFrame:

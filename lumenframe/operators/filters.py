@@ -135,10 +135,18 @@ def diffuse(df: DataFrame, k: float, rate: float, steps: int) -> DataFrame:
     return df.select("img_id", "y", "x", "v")
 
 
-def gaussian(df: DataFrame, sigma: float, boost: float = 1.0) -> DataFrame:
-    """Separable Gaussian of half width ceil(2.5 sigma), weights renewed at the edge; doubles."""
-    half = -int(-2.5 * sigma // 1)
-    weights = [2.71828 ** (-0.5 * (j / sigma) ** 2) for j in range(-half, half + 1)]
+# Fixed value: the base of the Gaussian's exponential.
+BASE = 2.71828
+
+
+def gaussian(df: DataFrame, sigma: float | Column, boost: float = 1.0, most: float | None = None) -> DataFrame:
+    """Separable Gaussian of half width ceil(2.5 sigma), weights renewed at the edge; doubles. sigma may be a column of at most `most`."""
+    half = -int(-2.5 * (sigma if most is None else most) // 1)
+    if most is None:
+        weights = [F.lit(BASE ** (-0.5 * (j / sigma) ** 2)) for j in range(-half, half + 1)]
+    else:
+        df = df.withColumn("__s", sigma)
+        weights = [F.when(F.ceil(2.5 * F.col("__s")) >= abs(j), F.pow(F.lit(BASE), -0.5 * j * j / (F.col("__s") * F.col("__s")))).otherwise(0.0) for j in range(-half, half + 1)]
 
     def line(c: str, over) -> Column:
         parts = [(at(c, j - half, over), w) for j, w in enumerate(weights)]
@@ -147,4 +155,3 @@ def gaussian(df: DataFrame, sigma: float, boost: float = 1.0) -> DataFrame:
         return value / mass
 
     return df.withColumn("m", line("v", along())).withColumn("s", line("m", down()) * boost).select("img_id", "y", "x", F.col("s").alias("v"))
-

@@ -62,16 +62,16 @@ def pack_bits(df: DataFrame, width: int = 32) -> DataFrame:
     return df.groupBy("img_id", "y", F.expr(f"cast(x div {width} as int)").alias("word")).agg(F.sum(bit).alias("bits"))
 
 
-def disc_offsets(radius: int) -> list[tuple[int, int]]:
-    return [(dy, dx) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1) if dy * dy + dx * dx <= radius * radius]
+# Half widths of the rows of the two bit discs, from the topmost row to the lowest.
+DISCS = {3: [1, 2, 3, 3, 3, 2, 1], 4: [1, 3, 3, 4, 4, 4, 3, 3, 1]}
 
 
 def disc_morphology(df: DataFrame, radius: int, grow: bool) -> DataFrame:
     """Erosion or dilation of v != 0 by a disc, pixels outside being empty: each row of the disc is a window along rows, shifted down."""
-    if radius not in (3, 4):
+    if radius not in DISCS:
         raise ValueError("radius must be 3 or 4")
     bit = F.when(F.col("v") != 0, 1).otherwise(0)
-    halves = {dy: max(dx for y, dx in disc_offsets(radius) if y == dy) for dy in range(-radius, radius + 1)}
+    halves = dict(zip(range(-radius, radius + 1), DISCS[radius], strict=True))
     agg = F.max if grow else F.min
     df = df.withColumn("b", bit)
     df = df.withColumns({f"h{h}": agg("b").over(along().rowsBetween(-h, h)) if grow else F.when(F.count("b").over(along().rowsBetween(-h, h)) == 2 * h + 1, agg("b").over(along().rowsBetween(-h, h))).otherwise(0) for h in set(halves.values())})

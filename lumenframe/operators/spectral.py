@@ -6,10 +6,9 @@ import math
 import zlib
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .edges import sobel
 
 
 def fourier(vec: DataFrame, n: int, inverse: bool = False) -> DataFrame:
@@ -37,19 +36,6 @@ def haar(vec: DataFrame, power: int) -> DataFrame:
     return vec.withColumn("p", F.explode(F.array(*parts))).groupBy("vec_id", F.col("p.k").alias("k")).agg(F.round(F.sum(F.col("e") * F.col("p.sign")), 6).alias("e"))
 
 
-def sharpness(df: DataFrame) -> DataFrame:
-    """(img_id, energy, n): mean squared difference of neighbours along rows, and their number."""
-    d = F.col("v") - F.lag("v").over(Window.partitionBy("img_id", "y").orderBy("x"))
-    return df.withColumn("d", d).groupBy("img_id").agg(F.round(F.avg(F.col("d") * F.col("d")), 6).alias("energy"), F.count("d").alias("n"))
-
-
-def motion(df: DataFrame) -> DataFrame:
-    """(img_id, motion): 64 times the mean distance of the Sobel images of both half frames, rounded down."""
-    half = lambda r: df.filter(F.col("y") % 2 == r).select("img_id", F.expr("cast(y div 2 as int)").alias("y"), "x", "v")
-    even, odd = sobel(half(0)), sobel(half(1)).withColumnRenamed("v", "v2")
-    return even.join(odd, ["img_id", "y", "x"]).groupBy("img_id").agg(F.sum(F.abs(F.col("v") - F.col("v2"))).alias("s"), F.count(F.lit(1)).alias("n")).select("img_id", F.expr("cast((64 * s) div n as int)").alias("motion"))
-
-
 def sync_loss(df: DataFrame) -> DataFrame:
     """(img_id, lost): whether the largest difference of even rows two apart stands out: its lead over the second exceeds one and the second's over the third."""
     down = Window.partitionBy("img_id", "x").orderBy("y")
@@ -88,9 +74,59 @@ def box_features(df: DataFrame, size: int = 8) -> DataFrame:
     return wide.unpivot(["img_id", "label"], list(sign), "feature", "value")
 
 
-def fixed_functions(df: DataFrame, name: str, one: int = 1 << 20) -> DataFrame:
-    """name with fixed-point functions of it, `one` standing for 1: cosine and power of two of name / one, logarithm to base 2, angle of (name, one)."""
-    c = F.col(name).cast("double")
-    part = (F.col(name) % (8 * one)).cast("double") / one
-    fixed = lambda x, to: F.floor(x * one + 0.5).cast("long").alias(to)
-    return df.select(name, fixed(F.cos(part), "cosine"), fixed(F.pow(F.lit(2.0), part), "power"), fixed(F.log2(c), "logarithm"), fixed(F.atan2(c, F.lit(float(one))), "angle"))
+# 20 bits after the point; pi, half of it and multiples as whole numbers; tables of 1024 steps a unit, rounded.
+ONE, STEP, PI, HALF_PI = 1 << 20, 1 << 10, 3294199, 1647099
+TURN, HALF_TURN, QUARTER_TURN = 6588397, 3294198, 1647099
+
+
+def tabled(entry, place: Column, rest: Column, bits: int) -> Column:
+    """Value between the rounded table entries at `place` and the next, `rest` of 2^bits on."""
+    low, high = (F.floor(entry(p) * ONE + 0.5).cast("long") for p in (place, place + 1))
+    return low + F.shiftright((high - low) * rest, bits)
+
+
+def cosine(x: Column) -> Column:
+    """Cosine of an angle in 2^-20 radians."""
+    x = F.abs(x) % TURN
+    folded = F.when(x >= HALF_TURN, x - HALF_TURN).otherwise(x)
+    steep = folded >= QUARTER_TURN
+    y = F.when(steep, F.lit(HALF_TURN) - folded).otherwise(folded)
+    value = tabled(lambda p: F.cos(p / STEP), F.shiftright(y, 10), y % STEP, 10)
+    return F.when((x >= HALF_TURN) != steep, -value).otherwise(value)
+
+
+def logarithm(x: Column, fixed: bool = True) -> Column:
+    """Logarithm to base 2, in 2^-20, of a number in 2^-20 (fixed) or a whole number, below 2^32; of 0 the least 32-bit number."""
+    order = (F.length(F.bin(x)) - 1).cast("long")
+    # The bits after the first, as 22 of them, or as all 32 for whole numbers, of which 10 are the place and 20 the rest.
+    if fixed:
+        part = F.when(order > 22, F.call_function("shiftrightunsigned", x, (order - 22).cast("int"))).otherwise(F.call_function("shiftleft", x, F.greatest(F.lit(0), 22 - order).cast("int"))) % (1 << 22)
+        value = (order - 20) * ONE + tabled(lambda p: F.log2(1 + p / STEP), F.shiftright(part, 12), part % (1 << 12), 12)
+    else:
+        part = F.call_function("shiftleft", x, (32 - order).cast("int")) % (1 << 32)
+        value = order * ONE + tabled(lambda p: F.log2(1 + p / STEP), F.shiftright(part, 22), F.shiftright(part, 2) % ONE, 20)
+    return F.when(x == 0, F.lit(-(1 << 31))).otherwise(value)
+
+
+def power(x: Column) -> Column:
+    """Two to the power of a number in 2^-20; above 12 the largest 32-bit number."""
+    shift = F.floor(x / ONE)
+    part = F.pmod(x, F.lit(ONE))
+    value = tabled(lambda p: F.pow(F.lit(2.0), p / STEP), F.shiftright(part, 10), part % STEP, 10)
+    return F.when(shift >= 12, F.lit((1 << 32) - 1)).when(shift >= 0, F.call_function("shiftleft", value, shift.cast("int"))).otherwise(F.call_function("shiftright", value, (-shift).cast("int")))
+
+
+def angle(y: Column, x: Column) -> Column:
+    """Angle of (x, y) in 2^-20 radians; both below 2^31."""
+    a, b = F.abs(x).cast("long"), F.abs(y).cast("long")
+    ratio = F.when(b >= a, F.call_function("div", a * ONE, F.greatest(b, F.lit(1)))).otherwise(F.call_function("div", b * ONE, F.greatest(a, F.lit(1))))
+    first = tabled(lambda p: F.atan(p / STEP), F.shiftright(ratio, 10), ratio % STEP, 10)
+    first = F.when(b >= a, HALF_PI - first).otherwise(first)
+    half = F.when(x < 0, PI - first).otherwise(first)
+    return F.when(y == 0, F.when(x >= 0, 0).otherwise(PI)).when(x == 0, F.when(y > 0, HALF_PI).otherwise(-HALF_PI)).otherwise(F.when(y < 0, -half).otherwise(half)).cast("long")
+
+
+def fixed_functions(df: DataFrame, name: str) -> DataFrame:
+    """name with fixed-point functions of it (20 bits after the point): cosine, power of two of what is left by 16, both logarithms to base 2, angle of (name - 2^15, name)."""
+    c = F.col(name).cast("long")
+    return df.select(name, cosine(c).alias("cosine"), power(c % (16 * ONE) - 4 * ONE).alias("power"), logarithm(c).alias("logarithm"), logarithm(c, False).alias("logarithm_whole"), angle(c - 32768, c).alias("angle"))

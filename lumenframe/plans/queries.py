@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.grid import by_image
-from ..operators import cluster, components, edges, filters, histograms, morphology, sequences, spectral, statistics, transport
+from ..operators import cluster, components, edges, filters, histograms, morphology, quality, sequences, spectral, statistics, transport
 from ..sources.fixtures import duck, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,7 +77,9 @@ SELECT img_id, y, x, CAST(CASE WHEN t > n * 100 - n // 2 AND t < n * 100 + n //
 # --- morphology
 for _name, _op, _agg in (("erode", morphology.erode, "min"), ("dilate", morphology.dilate, "max")):
     for _hy, _hx, _tag in ((1, 1, "3x3"), (0, 2, "5x1"), (2, 0, "1x5"), (2, 3, "box")):
-        image(f"{_name}_{_tag}", lambda g, op=_op, a=_hy, b=_hx: op(g, a, b), near(f"{_agg}(n.v)", square(_hy, _hx), _hy, _hx))
+        image(f"{_name}_{_tag}", lambda g, op=_op, a=_hy, b=_hx: op(g, a, b), f"""WITH grid AS ({{t}}), {SIZE}, r AS (SELECT img_id, y, x, {_agg}(v) OVER (PARTITION BY img_id, y ORDER BY x ROWS BETWEEN {_hx} PRECEDING AND {_hx} FOLLOWING) AS v FROM grid),
+c AS (SELECT img_id, y, x, {_agg}(v) OVER (PARTITION BY img_id, x ORDER BY y ROWS BETWEEN {_hy} PRECEDING AND {_hy} FOLLOWING) AS v FROM r)
+SELECT o.img_id, o.y, o.x, c.v FROM grid o CROSS JOIN size JOIN c ON c.img_id = o.img_id AND c.y = least(greatest(o.y, {_hy}), h - 1 - {_hy}) AND c.x = least(greatest(o.x, {_hx}), w - 1 - {_hx})""")
 _CROSS = [(0, 0), (0, 1), (0, -1), (1, 0), (-1, 0)]
 image("erode_cross", morphology.erode_cross, near("min(n.v)", _CROSS, 1, 1))
 image("dilate_cross", morphology.dilate_cross, near("max(n.v)", _CROSS, 1, 1))
@@ -86,9 +88,14 @@ image("open_tophat", morphology.eroded_difference, near("o.v - min(n.v)", square
 image("median3x3", morphology.median3x3, near("CASE count(*) WHEN 9 THEN list_sort(list(n.v))[5] ELSE o.v END", square(1, 1)))
 image("dilate_binary", lambda g: morphology.binary_dilate(g, 1, 2), near("CASE WHEN max(n.v) > 0 THEN 255 ELSE 0 END", square(1, 2)))
 image("bit_pack", morphology.pack_bits, "WITH grid AS ({t}) SELECT img_id, y, CAST(x // 32 AS INTEGER) AS word, CAST(sum(CASE WHEN v <> 0 THEN 1::BIGINT << (x % 32) ELSE 0 END) AS BIGINT) AS bits FROM grid GROUP BY 1, 2, 3")
+_DISC_ROWS = {3: "(-3, 1), (-2, 2), (-1, 3), (0, 3), (1, 3), (2, 2), (3, 1)", 4: "(-4, 1), (-3, 3), (-2, 3), (-1, 4), (0, 4), (1, 4), (2, 3), (3, 3), (4, 1)"}
+_DISC_SQL = """WITH grid AS ({t}), b AS (SELECT *, CASE WHEN v <> 0 THEN 1 ELSE 0 END AS b FROM grid), k(dy, hw) AS (VALUES %(rows)s),
+r AS (SELECT img_id, y, x, [%(agg)s(b) OVER (PARTITION BY img_id, y ORDER BY x ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), %(agg)s(b) OVER (PARTITION BY img_id, y ORDER BY x ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING),
+  %(agg)s(b) OVER (PARTITION BY img_id, y ORDER BY x ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), %(agg)s(b) OVER (PARTITION BY img_id, y ORDER BY x ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING)] AS m, least(x, max(x) OVER (PARTITION BY img_id, y) - x) AS edge FROM b)
+SELECT o.img_id, o.y, o.x, CAST(%(out)s AS INTEGER) AS v FROM grid o CROSS JOIN k LEFT JOIN r ON r.img_id = o.img_id AND r.x = o.x AND r.y = o.y + dy GROUP BY 1, 2, 3"""
 for _r in (3, 4):
-    image(f"disc_dilate{_r}", lambda g, r=_r: morphology.disc_morphology(g, r, True), near("max(CASE WHEN n.v <> 0 THEN 1 ELSE 0 END)", morphology.disc_offsets(_r)))
-    image(f"disc_erode{_r}", lambda g, r=_r: morphology.disc_morphology(g, r, False), near(f"CASE WHEN count(*) = {len(morphology.disc_offsets(_r))} THEN min(CASE WHEN n.v <> 0 THEN 1 ELSE 0 END) ELSE 0 END", morphology.disc_offsets(_r)))
+    image(f"disc_dilate{_r}", lambda g, r=_r: morphology.disc_morphology(g, r, True), _DISC_SQL % {"rows": _DISC_ROWS[_r], "agg": "max", "out": "max(coalesce(r.m[hw], 0))"})
+    image(f"disc_erode{_r}", lambda g, r=_r: morphology.disc_morphology(g, r, False), _DISC_SQL % {"rows": _DISC_ROWS[_r], "agg": "min", "out": "min(CASE WHEN r.edge >= hw THEN r.m[hw] ELSE 0 END)"})
 
 # --- histograms
 _H = "WITH grid AS ({t}), h AS (SELECT i.img_id, CAST(b.bin AS INTEGER) AS bin, count(g.v) AS n FROM (SELECT DISTINCT img_id FROM grid) i CROSS JOIN (SELECT unnest(range(256)) AS bin) b LEFT JOIN grid g ON g.img_id = i.img_id AND g.v = b.bin GROUP BY 1, 2)"
@@ -144,15 +151,20 @@ image("gradient_dxdy", lambda g: edges.magnitude(g).select("img_id", "y", "x", "
 _SOB = "WITH grid AS ({t}), k(dy, dx, a, b) AS (VALUES (-1, -1, -1, -1), (-1, 0, 0, -2), (-1, 1, 1, -1), (0, -1, -2, 0), (0, 1, 2, 0), (1, -1, -1, 1), (1, 0, 0, 2), (1, 1, 1, 1)), s AS (SELECT o.img_id, o.y, o.x, sum(a * n.v) AS gx, sum(b * n.v) AS gy FROM grid o CROSS JOIN k JOIN grid n ON n.img_id = o.img_id AND n.y = o.y + dy AND n.x = o.x + dx GROUP BY 1, 2, 3 HAVING count(*) = 8)"
 image("sobel_mag", edges.sobel, _SOB + " SELECT img_id, y, x, CAST(least(255, floor(sqrt(CAST(gx * gx + gy * gy AS DOUBLE)))) AS INTEGER) AS v FROM s")
 image("sobel_mag_wide", lambda g: edges.sobel(g, None), _SOB + " SELECT img_id, y, x, CAST(floor(sqrt(CAST(gx * gx + gy * gy AS DOUBLE))) AS INTEGER) AS v FROM s")
-_NMS = _GR + """, a AS (SELECT *, CASE WHEN 2 * abs(gx) >= 5 * abs(gy) THEN 0 WHEN 2 * abs(gy) >= 5 * abs(gx) THEN 1 ELSE sign(gx * gy) END AS dy, CASE WHEN 2 * abs(gx) >= 5 * abs(gy) THEN 1 WHEN 2 * abs(gy) >= 5 * abs(gx) THEN 0 ELSE 1 END AS dx FROM m),
-p AS (SELECT a.img_id, a.y, a.x, a.gx, a.gy, a.mag FROM a CROSS JOIN size JOIN m b ON b.img_id = a.img_id AND b.y = a.y - a.dy AND b.x = a.x - a.dx JOIN m c ON c.img_id = a.img_id AND c.y = a.y + a.dy AND c.x = a.x + a.dx
-  WHERE a.x BETWEEN 1 AND w - 1 AND a.y BETWEEN 1 AND h - 1 AND a.mag > CASE WHEN a.dx = 1 AND a.dy = -1 THEN c.mag ELSE b.mag END AND a.mag >= CASE WHEN a.dx = 1 AND a.dy = -1 THEN b.mag ELSE c.mag END AND a.mag > 0)"""
+_NMS = _GR + """, a AS (SELECT *, abs(gx) >= abs(gy) AS wide, CASE WHEN gx >= 0 THEN 1 ELSE -1 END AS sx, CASE WHEN gy >= 0 THEN 1 ELSE -1 END AS sy, greatest(abs(gx), abs(gy)) AS major, least(abs(gx), abs(gy)) AS minor FROM m),
+p AS (SELECT a.img_id, a.y, a.x, a.gx, a.gy, a.mag FROM a CROSS JOIN size
+  JOIN m b ON b.img_id = a.img_id AND b.y = a.y - CASE WHEN wide THEN 0 ELSE sy END AND b.x = a.x - CASE WHEN wide THEN sx ELSE 0 END JOIN m bc ON bc.img_id = a.img_id AND bc.y = a.y - sy AND bc.x = a.x - sx
+  JOIN m f ON f.img_id = a.img_id AND f.y = a.y + CASE WHEN wide THEN 0 ELSE sy END AND f.x = a.x + CASE WHEN wide THEN sx ELSE 0 END JOIN m fc ON fc.img_id = a.img_id AND fc.y = a.y + sy AND fc.x = a.x + sx
+  WHERE a.x BETWEEN 1 AND w - 2 AND a.y BETWEEN 1 AND h - 2 AND a.mag > 0 AND (b.mag - a.mag) * major + (bc.mag - b.mag) * minor < 0 AND (f.mag - a.mag) * major + (fc.mag - f.mag) * minor < 0)"""
+_GAUSS = "k AS (SELECT unnest(range(-{h}, {h} + 1)) AS d), gh AS (SELECT o.img_id, o.y, o.x, sum(n.v * pow(2.71828, -0.5 * pow(d / {s}, 2))) / sum(pow(2.71828, -0.5 * pow(d / {s}, 2))) AS v FROM raw o CROSS JOIN k JOIN raw n ON n.img_id = o.img_id AND n.y = o.y AND n.x = o.x + d GROUP BY 1, 2, 3), gs AS (SELECT o.img_id, o.y, o.x, sum(n.v * pow(2.71828, -0.5 * pow(d / {s}, 2))) / sum(pow(2.71828, -0.5 * pow(d / {s}, 2))) AS v FROM gh o CROSS JOIN k JOIN gh n ON n.img_id = o.img_id AND n.x = o.x AND n.y = o.y + d GROUP BY 1, 2, 3)"
+_SMOOTHED = "WITH raw AS ({t}), " + _GAUSS.format(h=5, s="2.0::DOUBLE") + ", grid AS (SELECT img_id, y, x, CAST(floor(v * 90 + 0.5) AS INTEGER) AS v FROM gs)"
+image("smoothed_short", lambda g: edges.smoothed(g, 2.0), _SMOOTHED + " SELECT * FROM grid", "disc")
 image("edge_peaks", edges.thinned, _NMS + " SELECT * FROM p", "disc")
-_THR = _NMS + """, cc AS (SELECT img_id, mag, sum(count(*)) OVER (PARTITION BY img_id ORDER BY mag) AS cum, sum(count(*)) OVER (PARTITION BY img_id) AS mass, max(mag) OVER (PARTITION BY img_id) AS top FROM p GROUP BY img_id, mag),
+_THR = _NMS.replace("WITH grid AS ({t})", _SMOOTHED, 1) + """, cc AS (SELECT img_id, mag, sum(count(*)) OVER (PARTITION BY img_id ORDER BY mag) AS cum, sum(count(*)) OVER (PARTITION BY img_id) AS mass, max(mag) OVER (PARTITION BY img_id) AS top FROM p GROUP BY img_id, mag),
 t AS (SELECT img_id, greatest(1, least(min(mag) FILTER (cum >= floor(mass * 0.8 + 0.5)), max(top) - 1)) AS hi FROM cc GROUP BY 1), th AS (SELECT img_id, CAST(hi AS INTEGER) AS hi, CAST(floor(hi * 0.4 + 0.5) AS INTEGER) AS lo FROM t)"""
-image("canny_thresholds", lambda g: edges.thresholds(edges.thinned(g), 0.4, 0.8), _THR + " SELECT * FROM th", "disc")
-image("canny_edges", lambda g: edges.canny(g, 0.4, 0.8), _THR.replace("WITH grid", "WITH RECURSIVE grid", 1) + """, c AS (SELECT p.*, mag >= hi AS seed FROM p JOIN th USING (img_id) WHERE mag >= hi OR mag > lo),
-f(img_id, y, x) AS (SELECT img_id, y, x FROM c WHERE seed UNION SELECT c.img_id, c.y, c.x FROM f JOIN c ON c.img_id = f.img_id AND abs(c.y - f.y) <= 1 AND abs(c.x - f.x) <= 1) SELECT img_id, y, x, mag FROM c SEMI JOIN f USING (img_id, y, x)""", "disc")
+image("canny_thresholds", lambda g: edges.thresholds(edges.thinned(edges.smoothed(g, 2.0)), 0.4, 0.8), _THR + " SELECT * FROM th", "disc")
+image("canny_edges", lambda g: edges.canny(g, 2.0, 0.4, 0.8), _THR.replace("WITH raw", "WITH RECURSIVE raw", 1) + """, c AS (SELECT p.*, mag >= hi AS seed FROM p JOIN th USING (img_id) WHERE mag >= hi OR mag > lo),
+f(img_id, y, x) AS (SELECT img_id, y, x FROM c WHERE seed UNION SELECT c.img_id, c.y, c.x FROM f JOIN c ON c.img_id = f.img_id AND abs(c.y - f.y) <= 1 AND abs(c.x - f.x) <= 1) SELECT img_id, y, x, gx, gy, mag FROM c SEMI JOIN f USING (img_id, y, x)""", "disc")
 _PTS = _GR + ", e AS (SELECT m.img_id, y, x, gx, gy, CAST(((CAST(floor(degrees(atan2(gy, gx))) AS INTEGER) % 360) + 360) % 360 AS INTEGER) AS dir FROM m CROSS JOIN size WHERE mag >= 60 AND x BETWEEN 3 AND w - 3 AND y BETWEEN 3 AND h - 3)"
 _points = lambda g: edges.edge_points(g, 60, 3)
 image("edge_points", _points, _PTS + " SELECT * FROM e", "disc")
@@ -219,9 +231,25 @@ add("ndc_classify", "vec", lambda v: statistics.gaussian_classes(v, 64), None)
 add("dft", "vec", lambda v: spectral.fourier(v, 64), "WITH vec AS ({t}) SELECT vec_id, CAST(k AS INTEGER) AS k, round(sum(e * cos(-2 * pi() / 64 * ((k * i) % 64))), 6) AS re, round(sum(e * sin(-2 * pi() / 64 * ((k * i) % 64))), 6) AS im FROM vec CROSS JOIN (SELECT unnest(range(64)) AS k) GROUP BY 1, 2")
 add("walsh", "vec", lambda v: spectral.walsh(v, 64), "WITH vec AS ({t}) SELECT vec_id, CAST(k AS INTEGER) AS k, round(sum(CASE WHEN bit_count(i & CAST(k AS INTEGER)) % 2 = 0 THEN e ELSE -e END), 6) AS e FROM vec CROSS JOIN (SELECT unnest(range(64)) AS k) GROUP BY 1, 2")
 add("haar", "vec", lambda v: spectral.haar(v, 6), "WITH vec AS ({t}), l AS (SELECT CAST(1 << unnest(range(6)) AS INTEGER) AS b), u AS (SELECT vec_id, 0 AS k, e FROM vec UNION ALL SELECT vec_id, CAST(b + i // (64 // b) AS INTEGER), CASE WHEN i % (64 // b) < 32 // b THEN e ELSE -e END FROM vec CROSS JOIN l) SELECT vec_id, k, round(sum(e), 6) AS e FROM u GROUP BY 1, 2")
-image("sharpness_energy", spectral.sharpness, "WITH grid AS ({t}) SELECT a.img_id, round(avg((b.v - a.v) * (b.v - a.v)), 6) AS energy, count(*) AS n FROM grid a JOIN grid b ON a.img_id = b.img_id AND a.y = b.y AND b.x = a.x + 1 GROUP BY 1")
-image("motion", spectral.motion, """WITH g0 AS ({t}), grid AS (SELECT img_id, y % 2 AS f, y // 2 AS y, x, v FROM g0), k(dy, dx, a, b) AS (VALUES (-1, -1, -1, -1), (-1, 0, 0, -2), (-1, 1, 1, -1), (0, -1, -2, 0), (0, 1, 2, 0), (1, -1, -1, 1), (1, 0, 0, 2), (1, 1, 1, 1)),
-s AS (SELECT o.img_id, o.f, o.y, o.x, sum(a * n.v) AS gx, sum(b * n.v) AS gy FROM grid o CROSS JOIN k JOIN grid n ON n.img_id = o.img_id AND n.f = o.f AND n.y = o.y + dy AND n.x = o.x + dx GROUP BY 1, 2, 3, 4 HAVING count(*) = 8), m AS (SELECT *, least(255, floor(sqrt(CAST(gx * gx + gy * gy AS DOUBLE)))) AS v FROM s)
+def _pyramid(levels: int) -> str:
+    """SQL: p0 to p<levels>, each half the size of the one before, and e(img_id, level, e), their energies."""
+    parts = ["p0 AS ({t})"]
+    for k in range(levels):
+        parts.append(f"p{k + 1} AS (SELECT img_id, CAST(y // 2 AS INTEGER) AS y, CAST(x // 2 AS INTEGER) AS x, CAST((sum(v) + count(*) // 2) // count(*) AS INTEGER) AS v FROM p{k} GROUP BY 1, 2, 3)")
+        parts.append(f"""e{k} AS (SELECT o.img_id, {k} AS level, CAST(floor(floor(sqrt(CAST(sum(d * d) AS DOUBLE) / count(*)) * 256) / pow(2.0::DOUBLE, {k / 2})) AS INTEGER) AS e FROM (
+  SELECT o.img_id, (5 * a.v + b.v + c.v + d.v + 4) // 8 - o.v AS d FROM p{k} o CROSS JOIN (SELECT max(y) AS h, max(x) AS w FROM p{k + 1}) s
+  JOIN p{k + 1} a ON a.img_id = o.img_id AND a.y = o.y // 2 AND a.x = o.x // 2 JOIN p{k + 1} b ON b.img_id = o.img_id AND b.y = o.y // 2 AND b.x = least(w, greatest(0, o.x // 2 + 2 * (o.x % 2) - 1))
+  JOIN p{k + 1} c ON c.img_id = o.img_id AND c.x = o.x // 2 AND c.y = least(h, greatest(0, o.y // 2 + 2 * (o.y % 2) - 1)) JOIN p{k + 1} d ON d.img_id = o.img_id AND d.y = c.y AND d.x = b.x) o GROUP BY 1)""")
+    return "WITH " + ", ".join(parts) + ", e AS (" + " UNION ALL ".join(f"SELECT * FROM e{k}" for k in range(levels)) + ")"
+
+
+image("pyramid_energies", quality.energies, _pyramid(6) + " SELECT * FROM e")
+image("sharpness", quality.sharpness, _pyramid(6) + " SELECT img_id, CAST(-trunc(CAST(600 * (2 * sum(e * level) - 4 * sum(e)) AS DOUBLE) / 120) AS INTEGER) AS sharpness FROM e WHERE level < 5 GROUP BY 1")
+image("split_nearest", lambda g: quality.residue(g, transport.every_second(g), False).select("img_id", "y", "x", F.col("d").bitwiseAND(255).alias("v")), "WITH grid AS ({t}) SELECT o.img_id, o.y, o.x, (n.v - o.v) & 255 AS v FROM grid o JOIN grid n ON n.img_id = o.img_id AND n.y = o.y - o.y % 2 AND n.x = o.x - o.x % 2")
+image("split_mean", lambda g: quality.residue(g, quality.halved(g), False).select("img_id", "y", "x", F.col("d").bitwiseAND(255).alias("v")), "WITH grid AS ({t}), p AS (SELECT img_id, y // 2 AS y, x // 2 AS x, (sum(v) + 2) // 4 AS v FROM grid GROUP BY 1, 2, 3) SELECT o.img_id, o.y, o.x, CAST(n.v - o.v AS INTEGER) & 255 AS v FROM grid o JOIN p n ON n.img_id = o.img_id AND n.y = o.y // 2 AND n.x = o.x // 2")
+image("noise", quality.noise, None)
+image("motion", quality.motion, """WITH g0 AS ({t}), grid AS (SELECT img_id, y % 2 AS f, y // 2 AS y, x, v FROM g0), k(dy, dx, a, b) AS (VALUES (-1, -1, -1, -1), (-1, 0, 0, -2), (-1, 1, 1, -1), (0, -1, -2, 0), (0, 1, 2, 0), (1, -1, -1, 1), (1, 0, 0, 2), (1, 1, 1, 1)),
+s AS (SELECT o.img_id, o.f, o.y, o.x, sum(a * n.v) AS gx, sum(b * n.v) AS gy FROM grid o CROSS JOIN k JOIN grid n ON n.img_id = o.img_id AND n.f = o.f AND n.y = o.y + dy AND n.x = o.x + dx GROUP BY 1, 2, 3, 4 HAVING count(*) = 8), m AS (SELECT *, least(255, CAST(abs(gx) + abs(gy) AS BIGINT) // 8) AS v FROM s)
 SELECT a.img_id, CAST(64 * CAST(sum(abs(a.v - b.v)) AS BIGINT) // count(*) AS INTEGER) AS motion FROM m a JOIN m b ON a.img_id = b.img_id AND a.f = 0 AND b.f = 1 AND a.y = b.y AND a.x = b.x GROUP BY 1""")
 image("sync_loss", spectral.sync_loss, """WITH grid AS ({t}), d AS (SELECT a.img_id, a.y, CAST(floor(sqrt(CAST(sum((a.v - b.v) * (a.v - b.v)) // count(*) AS DOUBLE))) AS INTEGER) AS m FROM grid a JOIN grid b ON a.img_id = b.img_id AND a.x = b.x AND b.y = a.y + 2 WHERE a.y % 2 = 0 GROUP BY 1, 2),
 l AS (SELECT img_id, list_reverse_sort(list(m)) AS m FROM d GROUP BY 1) SELECT img_id, m[1] - m[2] > m[2] - m[3] AND m[1] - m[2] > 1 AS lost FROM l""")
@@ -235,4 +263,22 @@ image("diffusion", lambda g: filters.diffuse(g, 8.0, 0.2, 1).withColumn("v", F.r
 image("resample_frames", lambda g: transport.resampled_frames(g, 5, 3), """WITH grid AS ({t}), s AS (SELECT dense_rank() OVER (ORDER BY img_id) - 1 AS i, y, x, v FROM grid), n AS (SELECT max(i) AS e FROM s), o AS (SELECT k, CAST(k * e AS DOUBLE) / 9 AS p FROM n CROSS JOIN (SELECT unnest(range(10)) AS k))
 SELECT CAST(k // 2 AS INTEGER) AS img_id, a.y, a.x, CAST(least(255, greatest(0, floor(a.v + (p - floor(p)) * coalesce(b.v - a.v, 0) + 0.5 + 1e-9) + 6)) AS INTEGER) AS v FROM o JOIN s a ON a.i = floor(p) AND a.y % 2 = k % 2 LEFT JOIN s b ON b.i = a.i + 1 AND b.y = a.y AND b.x = a.x""")
 QUERIES["fixed_functions"] = lambda spark, sf_dir: spectral.fixed_functions(spark.read.parquet(f"{sf_dir}/orders.parquet").filter("o_orderkey > 0"), "o_orderkey")
-ORACLE_SQL["fixed_functions"] = "WITH o AS (SELECT o_orderkey, CAST(o_orderkey AS DOUBLE) AS c, CAST(o_orderkey % 8388608 AS DOUBLE) / 1048576 AS p FROM orders WHERE o_orderkey > 0) SELECT o_orderkey, CAST(floor(cos(p) * 1048576 + 0.5) AS BIGINT) AS cosine, CAST(floor(pow(2.0::DOUBLE, p) * 1048576 + 0.5) AS BIGINT) AS power, CAST(floor(log2(c) * 1048576 + 0.5) AS BIGINT) AS logarithm, CAST(floor(atan2(c, 1048576::DOUBLE) * 1048576 + 0.5) AS BIGINT) AS angle FROM o"
+_TABLED = "(floor({f0} * 1048576 + 0.5) + floor((floor({f1} * 1048576 + 0.5) - floor({f0} * 1048576 + 0.5)) * {rest} / {span}))"
+
+
+def _tabled(f: str, place: str, rest: str, span: int) -> str:
+    """SQL: between the table's entries at `place` and the next; f has $ for the argument."""
+    at = lambda p: "(" + f.replace("$", f"(CAST({p} AS DOUBLE) / 1024)") + ")"
+    return _TABLED.format(f0=at(place), f1=at(f"({place} + 1)"), rest=rest, span=f"{span}::DOUBLE")
+
+
+_ATAN = _tabled("atan($)", "(q // 1024)", "(q % 1024)", 1024)
+ORACLE_SQL["fixed_functions"] = f"""WITH o AS (SELECT o_orderkey, CAST(o_orderkey AS BIGINT) AS c FROM orders WHERE o_orderkey > 0),
+a AS (SELECT *, c % 6588397 AS x, (c % 16777216) - 4194304 AS e, CAST(floor(log2(CAST(c AS DOUBLE))) AS BIGINT) AS k, c - 32768 AS dy FROM o),
+b AS (SELECT *, CASE WHEN x >= 3294198 THEN x - 3294198 ELSE x END AS y, CASE WHEN e < 0 THEN -((-e + 1048575) // 1048576) ELSE e // 1048576 END AS sh, CASE WHEN k > 22 THEN c >> (k - 22) ELSE c << (22 - least(22, k)) END % 4194304 AS m, (c << (32 - k)) % 4294967296 AS w,
+  CASE WHEN abs(dy) >= c THEN (c * 1048576) // greatest(1, abs(dy)) ELSE (abs(dy) * 1048576) // c END AS q FROM a),
+d AS (SELECT *, CASE WHEN y >= 1647099 THEN 3294198 - y ELSE y END AS z, e - sh * 1048576 AS r FROM b)
+SELECT o_orderkey, CAST(CASE WHEN (x >= 3294198) <> (y >= 1647099) THEN -1 ELSE 1 END * {_tabled("cos($)", "(z // 1024)", "(z % 1024)", 1024)} AS BIGINT) AS cosine,
+  CASE WHEN sh >= 12 THEN 4294967295 WHEN sh >= 0 THEN CAST({_tabled("pow(2.0::DOUBLE, $)", "(r // 1024)", "(r % 1024)", 1024)} AS BIGINT) << sh ELSE CAST({_tabled("pow(2.0::DOUBLE, $)", "(r // 1024)", "(r % 1024)", 1024)} AS BIGINT) >> (-sh) END AS power,
+  CAST((k - 20) * 1048576 + {_tabled("log2(1 + $)", "(m // 4096)", "(m % 4096)", 4096)} AS BIGINT) AS logarithm, CAST(k * 1048576 + {_tabled("log2(1 + $)", "(w // 4194304)", "((w // 4) % 1048576)", 1048576)} AS BIGINT) AS logarithm_whole,
+  CAST(CASE WHEN dy = 0 THEN 0 ELSE sign(dy) * CASE WHEN abs(dy) >= c THEN 1647099 - {_ATAN} ELSE {_ATAN} END END AS BIGINT) AS angle FROM d"""
