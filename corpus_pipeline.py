@@ -30,7 +30,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of a benchmark item."""
-    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).filter(F.size("hit") > 0)
+    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("n_hit > 0")
     bad = found.select(F.col("id").alias("__id"), "fp").distinct()
     rows = docs.withColumn("__fp", F.xxhash64("text"))
     return rows.join(bad, rows["doc_id"].eqNullSafe(bad["__id"]) & (rows["__fp"] == bad["fp"]), "left_anti").select(*docs.columns)
