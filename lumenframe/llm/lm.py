@@ -1,11 +1,12 @@
-"""Language-model scoring by deleted interpolation.
+"""Language-model scoring by deleted interpolation of order three.
 
-P(v | u) = l2(b) c(uv) / c(u) + l1(b) c(v) / N + l0(b) / (V + 1), b being the bucket of the context's count c(u). The weights of a bucket are learned
-by expectation-maximisation on deleted counts: each training occurrence is predicted from the counts without itself.
+P(w | u v) = l3 c(uvw) / c(uv) + l2 c(vw) / c(v) + l1 c(w) / N + l0 / (V + 1). The weights belong to a bucket of the context's frequency: that of
+c(uv), or of c(v) where uv was never seen. They are learned by expectation-maximisation on deleted counts: each training occurrence is predicted
+from the counts without itself, its bucket too.
 
 Counts cover every training document and grow with the corpus, so they are neither broadcast nor collected. Documents are dealt to blocks of
-bounded size. A block sends each distinct word and word pair once, as sorted hashes cut by hash range; a range adds up what all blocks sent and
-answers each block in the order of its question. Equal keys meet once a block, so a frequent word costs no more than a rare one.
+bounded size. A block sends each distinct word, word pair and word triple once, as sorted hashes cut by hash range; a range adds up what all blocks
+sent and answers each block in the order of its question. Equal keys meet once a block, so a frequent word costs no more than a rare one.
 """
 
 from __future__ import annotations
@@ -25,8 +26,13 @@ FOLDS, HELD = 7, 2
 #: Bytes of text of a block, about.
 BLOCK = 8 << 20
 END, START = np.uint64(0x1B873593CC9E2D51), np.uint64(0x85EBCA6BC2B2AE35)
-# Half powers of two up to 2^63, so no count is cut.
-LEVELS, BUCKETS = 128, 64
+ORDER = 3
+#: Powers of two up to 2^63, so no count is cut. A bucket is the power of two of c(uv), or 64 and that of c(v).
+LEVELS, BUCKETS = 64, 128
+#: Word pairs and triples are told apart by so many bits more than it takes to number the bytes of the corpus; words by 64 bits.
+SPARE_BITS = 11
+#: What EM's last weights are mixed with, so that no weight of the lower orders is 0.
+FLOOR, ROUNDS = 1e-4, 80
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -53,8 +59,8 @@ def unpack_keys(data: bytes) -> np.ndarray:
         return np.cumsum(unpack(data, np.uint64), dtype=np.uint64)
 
 
-def tokens(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(token, its context, document): the words of each text in order, then END; the first context is START."""
+def tokens(column) -> tuple[np.ndarray, np.ndarray]:
+    """(token, document): the words of each text in order, then END."""
     gap, low = tb.table(tb.SPACES)
     words, docs = [], []
     data, offsets = tb.strings(column)
@@ -69,32 +75,36 @@ def tokens(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     place = np.arange(len(doc)) + doc
     token[place] = np.concatenate([*words, np.zeros(0, np.uint64)])
     of[place] = doc
-    ends = np.cumsum(np.bincount(doc, minlength=n) + 1) - 1
-    of[ends] = np.arange(n)
-    context = np.empty_like(token)
-    context[1:] = token[:-1]
-    context[np.append(0, ends[:-1] + 1)[:n]] = START
-    return token, context, of
+    of[np.cumsum(np.bincount(doc, minlength=n) + 1) - 1] = np.arange(n)
+    return token, of
 
 
-def keyed(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(tokens, pairs, document); a pair is the hash of context and token."""
-    token, context, doc = tokens(column)
-    return token, tb.combined([context, token]), doc
+def keys_of(token: np.ndarray, doc: np.ndarray, kind: int, bits: int) -> np.ndarray:
+    """The hash of each token and the `kind` tokens before it, START standing before each text; of words all bits count, else the upper ones."""
+    if not kind:
+        return token
+    parts = []
+    for back in range(kind, 0, -1):
+        earlier = np.full(len(token), START, np.uint64)
+        same = doc[back:] == doc[:-back]
+        earlier[back:][same] = token[:-back][same]
+        parts.append(earlier)
+    return tb.combined([*parts, token]) >> np.uint64(64 - bits)
 
 
-def questions(parts: int):
-    shift = np.uint64(64 - parts.bit_length() + 1) if parts > 1 else None
+def questions(parts: int, bits: int):
+    power = parts.bit_length() - 1
 
     def ask(key, rows):
-        """The block's distinct words (kind 0) and pairs (kind 1) with their counts in its training documents, a row for each hash range."""
-        token, pair, doc = keyed(rows["text"])
-        learned = np.asarray(rows["learned"].to_numpy(zero_copy_only=False) if isinstance(rows["learned"], pa.Array) else rows["learned"].to_numpy(), bool)[doc]
+        """The block's distinct words, pairs and triples (kinds 0 to 2) with their counts in its training documents, a row for each hash range."""
+        token, doc = tokens(rows["text"])
+        learned = np.asarray(rows["learned"].to_numpy(), bool)[doc]
         out = {"kind": [], "part": [], "block": [], "keys": [], "counts": []}
-        for kind, value in ((0, token), (1, pair)):
-            keys, inverse = np.unique(value, return_inverse=True)
+        for kind in range(ORDER):
+            keys, inverse = np.unique(keys_of(token, doc, kind, bits), return_inverse=True)
             counts = np.bincount(inverse, weights=learned, minlength=len(keys)).astype(np.uint32)
-            of = (keys >> shift).astype(np.int64) if shift is not None else np.zeros(len(keys), np.int64)
+            del inverse
+            of = (keys >> np.uint64((bits if kind else 64) - power)).astype(np.int64) if power else np.zeros(len(keys), np.int64)
             cuts = np.searchsorted(of, np.arange(parts + 1))
             for p in range(parts):
                 a, z = cuts[p], cuts[p + 1]
@@ -113,88 +123,112 @@ def answer(key, rows):
     _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
     sums = np.bincount(inverse, weights=np.concatenate(counts))
     cuts = np.append(0, np.cumsum([len(k) for k in keys]))
-    told = [pack(sums[inverse[a:z]].astype(np.uint64 if sums.max() >= 2**32 else np.uint32)) for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
     wide = bool(sums.max() >= 2**32)
+    told = [pack(sums[inverse[a:z]].astype(np.uint64 if wide else np.uint32)) for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
     stats = np.array([sums.sum(), (sums > 0).sum()], np.float64).tobytes()
     n = len(told) + 1
     kind, part = key[0].as_py(), key[1].as_py()
     return pa.table({"block": pa.array([*rows["block"].to_pylist(), -1], pa.int32()), "kind": pa.array([kind] * n, pa.int32()), "part": pa.array([part] * n, pa.int32()), "wide": pa.array([wide] * n), "data": pa.array([*told, stats], pa.binary())})
 
 
-def known_counts(rows, told) -> tuple[np.ndarray, ...]:
-    """(c(v), c(uv), c(u), document) for each token of the block, from the answers."""
-    token, pair, doc = keyed(rows["text"])
-    found = {}
-    for kind, value in ((0, token), (1, pair)):
-        own = sorted((p, x, w) for k, p, x, w in zip(told["kind"].to_pylist(), told["part"].to_pylist(), told["data"].to_pylist(), told["wide"].to_pylist(), strict=True) if k == kind)
-        totals = np.concatenate([unpack(x, np.uint64 if w else np.uint32).astype(np.float64) for _, x, w in own])
-        found[kind] = totals[np.unique(value, return_inverse=True)[1]]
-    c, first = found[0], np.append(True, doc[1:] != doc[:-1])
-    before = np.append(0.0, c[:-1])
-    # START stands once before each text, as END stands once after it.
-    ends = c[token == END]
-    before[first] = ends[0] if len(ends) else 0.0
-    return c, found[1], before, doc
+def shifted(count: np.ndarray, first: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Each place's count of the place before it, or `start` at the first of a text."""
+    return np.where(first, start, np.append(0.0, count[:-1]))
 
 
-def bucket(count: np.ndarray) -> np.ndarray:
-    return np.minimum((2 * np.log2(count + 1)).astype(np.int64), BUCKETS - 1)
+def known_counts(rows, told, bits: int) -> tuple[np.ndarray, ...]:
+    """(c(w), c(vw), c(uvw), c(v), c(uv), document) for each token of the block, from the answers."""
+    token, doc = tokens(rows["text"])
+    kinds = told["kind"].to_pylist()
+    found = []
+    for kind in range(ORDER):
+        at = sorted((p, i) for i, (k, p) in enumerate(zip(kinds, told["part"].to_pylist(), strict=True)) if k == kind)
+        totals = np.concatenate([unpack(told["data"][i].as_py(), np.uint64 if told["wide"][i].as_py() else np.uint32).astype(np.float64) for _, i in at])
+        found.append(totals[np.unique(keys_of(token, doc, kind, bits), return_inverse=True)[1]])
+    one, two, three = found
+    first = np.append(True, doc[1:] != doc[:-1])
+    # START stands before each text, once as a word and once as a pair, as often as END after it.
+    texts = one[token == END]
+    start = texts[0] if len(texts) else 0.0
+    return one, two, three, shifted(one, first, start), shifted(two, first, start), doc
 
 
-def level(x: np.ndarray) -> np.ndarray:
-    """0 for 0, else a half power of two."""
-    return np.where(x > 0, np.clip(np.round(2 * np.log2(np.maximum(x, 1e-30))) + 1, 1, LEVELS - 1), 0).astype(np.int64)
+def power_of(x: np.ndarray) -> np.ndarray:
+    return np.log2(np.maximum(x, 1.0)).astype(np.int64)
 
 
-def deleted(key, rows, told):
-    """Training occurrences by (context bucket, inverse of the deleted pair estimate, deleted count of the token), in half powers of two."""
-    c, both, before, doc = known_counts(rows, told)
-    learned = np.asarray(rows["learned"].to_numpy(), bool)[doc]
-    c, both, before = c[learned], both[learned], before[learned]
-    ratio = np.where(both > 1, np.maximum(before - 1, 1) / np.maximum(both - 1, 1), 0.0)
-    cell = (bucket(before) * LEVELS + level(ratio)) * LEVELS + level(c - 1)
-    at, n = np.unique(cell, return_counts=True)
-    return pa.table({"cell": pa.array(at, pa.int64()), "n": pa.array(n, pa.int64())})
+def bucket(word: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    """The bucket of a context from c(v) and c(uv)."""
+    return np.where(pair > 0, power_of(pair), LEVELS + power_of(word))
+
+
+def estimates(one, two, three, word, pair, total: float) -> np.ndarray:
+    """Maximum-likelihood estimates of each order, from the third down; 0 where the context wasn't seen."""
+    part = lambda a, b: np.where(b > 0, a / np.maximum(b, 1.0), 0.0)
+    return np.stack([part(three, pair), part(two, word), one / max(total, 1.0)], 1)
+
+
+def level(p: np.ndarray) -> np.ndarray:
+    """0 for 0, else one more than the power of two of the inverse."""
+    return np.where(p > 0, 1 + np.minimum(power_of(1.0 / np.maximum(p, 1e-300)), LEVELS - 2), 0)
+
+
+def model_of(told: pa.Table) -> tuple[float, float, np.ndarray | None]:
+    """(N, V, weights) from a block's row of kind ORDER; weights are missing while they are learned."""
+    data = told.filter(pa.compute.equal(told["kind"], ORDER))["data"][0].as_py()
+    total, distinct = np.frombuffer(data[:16], np.float64)
+    return float(total), float(distinct), np.frombuffer(data[16:], np.float64).reshape(BUCKETS, ORDER + 1) if len(data) > 16 else None
+
+
+def deleted(bits: int):
+    def run(key, rows, told):
+        """Training occurrences by (bucket, powers of two of the estimates), with their number and the sums of their estimates."""
+        total, _, _ = model_of(told)
+        one, two, three, word, pair, doc = known_counts(rows, told, bits)
+        learned = np.asarray(rows["learned"].to_numpy(), bool)[doc]
+        one, two, three, word, pair = (np.maximum(x[learned] - 1, 0.0) for x in (one, two, three, word, pair))
+        p = estimates(one, two, three, word, pair, total - 1)
+        cell = bucket(word, pair)
+        for k in range(ORDER):
+            cell = cell * LEVELS + level(p[:, k])
+        at, of = np.unique(cell, return_inverse=True)
+        sums = [np.bincount(of, weights=p[:, k], minlength=len(at)) for k in range(ORDER)]
+        return pa.table({"cell": pa.array(at, pa.int64()), "n": pa.array(np.bincount(of, minlength=len(at)), pa.int64()), **{f"p{k}": pa.array(x, pa.float64()) for k, x in enumerate(sums)}})
+
+    return run
 
 
 def learn(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Weights of each bucket by EM; pdf has the cells with N and V in each row. At most BUCKETS * LEVELS^2 rows, whatever the corpus."""
-    weights = np.tile([0.0, 0.5, 0.5], (BUCKETS, 1))
-    total, distinct = (float(pdf["total"].iloc[0]), float(pdf["distinct"].iloc[0])) if len(pdf) else (0.0, 0.0)
-    cell, n = pdf["cell"].to_numpy(np.int64), pdf["n"].to_numpy(np.float64)
-    real = cell >= 0
-    cell, n = cell[real], n[real]
-    b, ratio, count = cell // (LEVELS * LEVELS), cell // LEVELS % LEVELS, cell % LEVELS
-    p = np.zeros((len(cell), 3))
-    p[:, 0] = np.where(ratio > 0, np.minimum(1.0, 2.0 ** (-(ratio - 1) / 2)), 0.0)
-    p[:, 1] = np.where(count > 0, 2.0 ** ((count - 1) / 2) / max(1.0, total - 1), 0.0)
-    p[:, 2] = 1.0 / (distinct + 1)
-    for k in np.unique(b):
-        own, m = p[b == k], n[b == k]
-        w = np.full(3, 1 / 3)
-        for _ in range(60):
-            r = own * w
-            w = (r / r.sum(1, keepdims=True) * m[:, None]).sum(0) / m.sum()
-        weights[k] = 0.9999 * w + 0.0001 * np.array([0.0, 0.5, 0.5])
-    return pd.DataFrame({"total": [total], "distinct": [distinct], "weights": [weights.tobytes()]})
-
-
-def scored(id_type: pa.DataType):
+    """The weights of one bucket by EM over its cells, each standing for its occurrences at their mean estimates; LEVELS^3 rows at most, whatever the corpus."""
+    n = pdf["n"].to_numpy(np.float64)
+    p = np.concatenate([pdf[[f"p{k}" for k in range(ORDER)]].to_numpy(np.float64) / n[:, None], 1.0 / (pdf[["distinct"]].to_numpy(np.float64) + 1.0)], axis=1)
+    w = np.full(ORDER + 1, 1.0 / (ORDER + 1))
+    for _ in range(ROUNDS):
+        r = p * w
+        w = (r / r.sum(1, keepdims=True) * n[:, None]).sum(0) / n.sum()
+    w = (1 - FLOOR) * w + FLOOR * np.array([0.0] * (ORDER - 1) + [0.5, 0.5])
+    return pd.DataFrame({"bucket": pdf["bucket"].iloc[:1], "weights": [w.tolist()]})
+
+
+def probabilities(one, two, three, word, pair, total: float, distinct: float, weights: np.ndarray) -> np.ndarray:
+    """P of each token: the weights of orders whose context wasn't seen go to the others in proportion."""
+    w = weights[bucket(word, pair)]
+    seen = np.stack([pair > 0, word > 0, np.full(len(word), total > 0), np.full(len(word), True)], 1)
+    w = np.where(seen, w, 0.0)
+    p = np.concatenate([estimates(one, two, three, word, pair, total), np.full((len(word), 1), 1.0 / (distinct + 1.0))], axis=1)
+    return (w * p).sum(1) / w.sum(1)
+
+
+def scored(id_type: pa.DataType, bits: int):
     def run(key, rows, told):
-        own = told.filter(pa.compute.equal(told["kind"], 2))
-        total, distinct = np.frombuffer(own["data"][0].as_py()[:16], np.float64)
-        weights = np.frombuffer(own["data"][0].as_py()[16:], np.float64).reshape(BUCKETS, 3)
-        c, both, before, doc = known_counts(rows, told)
-        w = weights[bucket(before)]
-        seen = before > 0
-        pair = np.where(seen, both / np.maximum(before, 1.0), 0.0)
-        p = w[:, 0] * pair + w[:, 1] * c / max(total, 1.0) + w[:, 2] / (distinct + 1.0)
-        p = np.where(seen, p, p / np.maximum(w[:, 1] + w[:, 2], 1e-12))
+        total, distinct, weights = model_of(told)
+        one, two, three, word, pair, doc = known_counts(rows, told, bits)
+        p = probabilities(one, two, three, word, pair, total, distinct, weights)
         first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
         add = lambda x: np.add.reduceat(x, first)
         n = np.diff(np.append(first, len(doc)))
-        base = add(np.log10((c + 1.0) / (total + distinct + 1.0)))
-        return pa.table({"doc_id": rows["doc_id"].cast(id_type), "held_out": rows["held_out"], "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(add((c > 0).astype(np.int64)), pa.int64()), "train_tokens": pa.array(np.full(len(n), int(total)), pa.int64()), "base_score": pa.array(base), "score": pa.array(add(np.log10(p)))})
+        base = add(np.log10((one + 1.0) / (total + distinct + 1.0)))
+        return pa.table({"doc_id": rows["doc_id"].cast(id_type), "held_out": rows["held_out"], "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(add((one > 0).astype(np.int64)), pa.int64()), "train_tokens": pa.array(np.full(len(n), int(total)), pa.int64()), "base_score": pa.array(base), "score": pa.array(add(np.log10(p)))})
 
     return run
 
@@ -203,32 +237,40 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs.
 
     A null text is an empty one: its one token is END. A null id is neither held out nor learned from. Repeated rows count as often as they stand. Without
-    training documents every count is 0. An empty table gives an empty result. Only id_col and text_col are read. Words are told apart by
-    64-bit hashes.
+    training documents every count is 0. An empty table gives an empty result. A text longer than a block is a block of its own. Only id_col and
+    text_col are read. Words are told apart by 64-bit hashes; of pairs and triples about one in 10^4 shares its hash with another.
     """
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0
     blocks = max(1, -(-size // block))
     parts = 1 << max(0, (blocks - 1).bit_length())
+    bits = min(64, max(size, 2).bit_length() + SPARE_BITS)
     out = F.col(id_col)
     rows = docs.select(
         F.pmod(F.xxhash64(out, F.col(text_col)), F.lit(blocks)).cast("int").alias("block"), out.alias("doc_id"), held_out(out, folds, held).alias("held_out"),
         (out.isNotNull() & ~held_out(out, folds, held)).alias("learned"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     ).repartition(blocks, "block")
-    asked = rows.groupBy("block").applyInArrow(questions(parts), "kind int, part int, block int, keys binary, counts binary")
-    told = asked.groupBy("kind", "part").applyInArrow(answer, "block int, kind int, part int, wide boolean, data binary")
+    asked = rows.groupBy("block").applyInArrow(questions(parts, bits), "kind int, part int, block int, keys binary, counts binary")
+    # A task of its own for each range, as far as hashing goes, so that a task's share doesn't grow with the corpus.
+    told = asked.repartition(ORDER * parts, "kind", "part").groupBy("kind", "part").applyInArrow(answer, "block int, kind int, part int, wide boolean, data binary")
     number = lambda i: F.sum(F.when(F.col("kind") == 0, F.col("stat")[i])).alias(("total", "distinct")[i])
     stats = told.filter("block = -1").mapInArrow(_stats, "kind int, stat array<double>").agg(*(F.coalesce(number(i), F.lit(0.0)).alias(("total", "distinct")[i]) for i in range(2)))
     to_blocks = told.filter("block >= 0")
-    cells = rows.groupBy("block").cogroup(to_blocks.groupBy("block")).applyInArrow(deleted, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    # One row more than the cells, so that a corpus without training documents has weights too.
-    none = spark.range(1).select(F.lit(-1).cast("long").alias("cell"), F.lit(0).cast("long").alias("n"))
-    learned = cells.unionByName(none).crossJoin(F.broadcast(stats)).groupBy(F.lit(0).alias("one")).applyInPandas(learn, "total double, distinct double, weights binary")
-    model = learned.mapInArrow(_model, "data binary")
-    each = spark.range(blocks).select(F.col("id").cast("int").alias("block"), F.lit(2).alias("kind"), F.lit(0).alias("part"), F.lit(False).alias("wide")).crossJoin(F.broadcast(model))
+    # N and V, and the weights of all buckets, are one row of BUCKETS x (ORDER + 1) + 2 numbers, told to every block.
+    each = spark.range(blocks).select(F.col("id").cast("int").alias("block"), F.lit(ORDER).alias("kind"), F.lit(0).alias("part"), F.lit(False).alias("wide"))
+    told_all = lambda model: to_blocks.unionByName(each.crossJoin(F.broadcast(model))).groupBy("block")
+    by_block = rows.groupBy("block")
+    cells = by_block.cogroup(told_all(stats.mapInArrow(_model, "data binary"))).applyInArrow(_not_empty(deleted(bits), CELLS), CELLS)
+    cells = cells.groupBy("cell").agg(F.sum("n").alias("n"), *(F.sum(f"p{k}").alias(f"p{k}") for k in range(ORDER)))
+    cells = cells.withColumn("bucket", F.expr(f"cast(cell div {LEVELS**ORDER} as int)")).crossJoin(F.broadcast(stats.select("distinct")))
+    weights = cells.groupBy("bucket").applyInPandas(learn, "bucket int, weights array<double>").agg(F.collect_list(F.struct("bucket", "weights")).alias("weights"))
+    model = stats.crossJoin(F.broadcast(weights)).mapInArrow(_model, "data binary")
     id_type = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("held_out", T.BooleanType()), *(T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
-    return rows.groupBy("block").cogroup(to_blocks.unionByName(each).groupBy("block")).applyInArrow(_not_empty(scored(to_arrow_type(id_type)), schema), schema)
+    return by_block.cogroup(told_all(model)).applyInArrow(_not_empty(scored(to_arrow_type(id_type), bits), schema), schema)
+
+
+CELLS = T.StructType([T.StructField("cell", T.LongType()), T.StructField("n", T.LongType()), *(T.StructField(f"p{k}", T.DoubleType()) for k in range(ORDER))])
 
 
 def _not_empty(run, schema):
@@ -246,5 +288,15 @@ def _stats(batches):
 
 
 def _model(batches):
+    """N and V as bytes, and where the row has them the weights of all buckets; buckets without training occurrences share their weight between the lower orders."""
     for b in batches:
-        yield pa.RecordBatch.from_pydict({"data": pa.array([np.array([t, d]).tobytes() + w for t, d, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)], pa.binary())})
+        told = []
+        for i in range(b.num_rows):
+            data = np.array([b.column(0)[i].as_py(), b.column(1)[i].as_py()], np.float64).tobytes()
+            if b.num_columns > 2:
+                weights = np.tile([0.0] * (ORDER - 1) + [0.5, 0.5], (BUCKETS, 1))
+                for own in b.column(2)[i].as_py():
+                    weights[own["bucket"]] = own["weights"]
+                data += weights.tobytes()
+            told.append(data)
+        yield pa.RecordBatch.from_arrays([pa.array(told, pa.binary())], names=["data"])
