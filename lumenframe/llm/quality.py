@@ -20,8 +20,8 @@ from .textblocks import pieces, strings
 
 #: Filters, bytes that a filter sees, and positions of half a chunk.
 FILTERS, WIDTH, HALF = 20, 5, 256
-#: Labelled documents that the network learns from at most, and bytes beyond which a document isn't picked for learning; scoring has no bound.
-SAMPLE, SAMPLE_BYTES = 2500, 1 << 16
+#: Labelled documents that the network learns from at most, whole texts of any length; scoring has no bound.
+SAMPLE = 2500
 FOLDS, HELD = 3, 1
 
 
@@ -98,8 +98,8 @@ class Network:
         z = self.pooled(half, doc, len(offsets) - 1)[0].astype(np.float64) @ self.out + self.bias[0]
         return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
 
-    def train(self, texts: list[bytes], labels: np.ndarray, epochs: int = 14, batch: int = 32, most_halves: int = 24, seed: int = 4) -> "Network":
-        """Adam on the logistic loss. A step sees a random run of up to most_halves half chunks of each document, so long ones cost no more."""
+    def train(self, texts: list[bytes], labels: np.ndarray, epochs: int = 14, batch: int = 32, seed: int = 4) -> "Network":
+        """Adam on the logistic loss; a step sees the whole texts of a batch."""
         random = np.random.default_rng(seed)
         n, f = len(texts), len(self.b)
         if not n or labels.min() == labels.max():
@@ -114,13 +114,7 @@ class Network:
             rate = 0.02 * (1 - epoch / epochs) + 0.001
             for i in range(0, n, batch):
                 rows = order[i : i + batch]
-                cut = []
-                for r in rows:
-                    x = texts[r]
-                    if len(x) > most_halves * HALF:
-                        a = int(random.integers(0, len(x) - most_halves * HALF + 1))
-                        x = x[a : a + most_halves * HALF]
-                    cut.append(x)
+                cut = [texts[r] for r in rows]
                 offsets = np.append(0, np.cumsum([len(x) for x in cut])).astype(np.int64)
                 text, first, doc, end = padded(np.frombuffer(b"".join(cut), np.uint8), offsets)
                 half, at = self.halves(text, first, end, where=True)
@@ -148,11 +142,14 @@ class Network:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, folds: int = FOLDS, held: int = HELD) -> Network:
-    """Learns from at most `sample` labelled documents outside the held-out fold, those of least id hash; repeated labels count as their largest."""
+    """Learns from at most `sample` labelled documents outside the held-out fold, those of least id hash, whatever their length.
+
+    Repeated labels count as their largest; of several texts of one id the first in order is learned from. A null text is an empty one.
+    """
     own = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col), folds, held)).groupBy(id_col).agg((F.max(label_col) > 0).cast("int").alias("y"))
     picked = own.orderBy(F.xxhash64(F.lit(5), id_col), id_col).limit(sample)
-    texts = docs.filter(F.octet_length(text_col) <= SAMPLE_BYTES).select(F.col(id_col), F.col(text_col).alias("text"))
-    rows = texts.join(F.broadcast(picked), id_col).dropDuplicates([id_col]).toPandas()  # at most `sample` rows
+    texts = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = texts.join(F.broadcast(picked), id_col).groupBy(id_col, "y").agg(F.min("text").alias("text")).toPandas()  # at most `sample` rows
     rows = rows.sort_values(id_col)
     return Network().train([x.encode() for x in rows["text"]], rows["y"].to_numpy(np.float32))
 
