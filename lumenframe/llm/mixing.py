@@ -54,8 +54,12 @@ def tilt(dual: Column, size: Column, scale: Column, copies: int = COPIES) -> Col
     return F.least(F.lit(float(copies)), F.exp(dual * size / scale))
 
 
-def solve(sizes: DataFrame, goals: DataFrame, copies: int = COPIES, most: int = 40, near: float = 1e-9) -> DataFrame:
-    """goals with `dual`: damped Newton on each source's dual. A job a step, over the counts; stops when no target is off by more than `near` of it."""
+def solve(sizes: DataFrame, goals: DataFrame, copies: int = COPIES, most: int = 200, near: float = 1e-9) -> DataFrame:
+    """goals with `dual`: damped Newton on each source's dual. A job a step, over the counts; stops when no target is off by more than `near` of it.
+
+    A step that leaves the bracket halves it, so a bracket of doubles is used up long before `most` steps; where it has no doubles left inside, the dual is as
+    near as doubles come. Still being off after `most` steps is an error.
+    """
     full = F.col("target") >= copies * F.col("source_size") * (1 - 1e-12)
     high = F.log(F.lit(2.0 * copies)) * F.col("scale") / F.col("least")
     low = F.log(F.try_divide(F.greatest(F.col("target"), F.lit(1e-9)), F.col("source_size"))) * F.col("scale") / F.col("least")
@@ -72,13 +76,16 @@ def solve(sizes: DataFrame, goals: DataFrame, copies: int = COPIES, most: int =
         step = F.col("dual") - F.col("over") / F.when(F.col("slope") > 0, F.col("slope"))
         inside = step.isNotNull() & (step > F.col("low")) & (step < F.col("high"))
         middle = (F.col("low") + F.col("high")) / 2
-        done = F.col("fixed") | (F.abs("over") <= near * F.col("target"))
+        spent = ((F.col("high") - F.col("low")) <= 1e-15 * F.greatest(F.abs("high"), F.abs("low"))) | (middle <= F.col("low")) | (middle >= F.col("high"))
+        done = F.col("fixed") | (F.abs("over") <= near * F.col("target")) | spent
         new = sums.select(*keep, "high", "low", F.when(done, F.col("dual")).when(inside, step).otherwise(middle).alias("dual"), F.when(done, 0.0).otherwise(F.abs("over") / F.greatest("target", F.lit(1.0))).alias("off"))
         new = written(new, "mix-dual")
         dropped(state)
         state = new
         if not (state.agg(F.max("off")).first()[0] or 0.0):
             break
+    else:
+        raise RuntimeError(f"the duals did not settle in {most} steps")
     return state.select("source", "source_size", "scale", "target", "dual")
 
 
