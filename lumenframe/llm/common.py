@@ -94,3 +94,19 @@ def ranked(df: DataFrame, keys: list[str], order: list[str | Column], salt_on: C
     rows = salted.withColumn("__at", F.row_number().over(within) - 1)
     on = [rows["__salt"] == starts["__salt"], *(rows[k].eqNullSafe(starts[k]) for k in keys)]
     return rows.join(starts, on).select(*(rows[c] for c in df.columns), (starts["__first"] + rows["__at"]).cast("long").alias(name), *(starts[c] for c in more))
+
+
+def before(df: DataFrame, keys: list[str], amount: str, order: list[str], salt_on: Column, salts: int, name: str, largest_first: bool = False) -> DataFrame:
+    """Adds `name`, the sum of `amount` over the rows before, within keys, without bringing a key's rows together.
+
+    Rows stand by salt, or by amount, the largest first, and then by salt; sums by (keys, amount, salt) give each such piece its start, and pieces are added
+    up apart by `order`, which must settle the place of a row within its piece. Keys are not null.
+    """
+    major = [amount] if largest_first else []
+    salted = df.withColumn("__salt", F.pmod(F.xxhash64(F.lit(13), salt_on), F.lit(salts)).cast("int"))
+    pieces = salted.groupBy(*keys, *major, "__salt").agg(F.sum(amount).alias("__sum"))
+    earlier = Window.partitionBy(*keys).orderBy(*(F.desc(m) for m in major), "__salt").rowsBetween(Window.unboundedPreceding, -1)
+    starts = pieces.select(*keys, *major, "__salt", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__start"))
+    inside = Window.partitionBy(*keys, *major, "__salt").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = salted.withColumn("__in", F.coalesce(F.sum(amount).over(inside), F.lit(0)))
+    return rows.join(starts, [*keys, *major, "__salt"]).select(*(rows[c] for c in df.columns), (F.col("__start") + F.col("__in")).alias(name))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import dropped, ranked, written
+from .common import before, dropped, ranked, written
 
 SALTS = 64
 
@@ -48,9 +48,9 @@ def propagate(state: DataFrame, n: int, shards: int) -> DataFrame:
     placed = placed.withColumn("anchors", F.greatest(F.lit(1), F.ceil(F.col("total") / F.lit(max(1, n // shards))))).withColumn("order", F.collect_list("shard").over(best.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     target = F.get("order", F.pmod(F.col("place") - 1, F.col("anchors")).cast("int"))
     asks = placed.filter((F.col("place") > F.col("anchors")) & (F.size("order") > 1)).select("g", "h", "shard", "n", target.alias("to"))
-    queue = Window.partitionBy("to").orderBy(F.desc("n"), "g", "h", "shard").rowsBetween(Window.unboundedPreceding, -1)
     to_room = room.select(F.col("shard").alias("to"), "room")
-    admitted = asks.join(to_room, "to").withColumn("before", F.coalesce(F.sum("n").over(queue), F.lit(0)))
+    queued = before(asks, ["to"], "n", ["g", "h", "shard"], F.col("g"), SALTS, "before", largest_first=True)
+    admitted = queued.join(to_room, "to")
     admitted = admitted.withColumn("m", F.greatest(F.lit(0), F.least(F.col("n"), F.col("room") - F.col("before")))).filter("m > 0")
     same = F.col("n"), F.lit(0).cast("long").alias("moved")
     gone = admitted.select("g", "h", "shard", (-F.col("m")).alias("n"), F.lit(0).cast("long").alias("moved"))
@@ -85,8 +85,7 @@ def shard(docs: DataFrame, shards: int = 40, rounds: int = 12, id_col: str = "do
 
     # Slots: a shard's linked rows first, group by group, then the others.
     by_group = Window.partitionBy("g", "h").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    in_shard = Window.partitionBy("shard").orderBy("g", "h").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = state.withColumn("from", F.coalesce(F.sum("n").over(by_group), F.lit(0))).withColumn("slot0", F.coalesce(F.sum("n").over(in_shard), F.lit(0)))
+    ranges = before(state.withColumn("from", F.coalesce(F.sum("n").over(by_group), F.lit(0))), ["shard"], "n", ["g", "h"], F.col("g"), SALTS, "slot0")
     lists = ranges.groupBy("g", "h").agg(F.sort_array(F.collect_list(F.struct("from", "shard", "slot0"))).alias("ranges"))
     own = F.element_at(F.filter("ranges", lambda x: x["from"] <= F.col("p")), -1)
     pieces = linked.withColumn("part", F.floor(F.col("p") / F.lit(4096)).cast("long"))
@@ -105,7 +104,11 @@ def shard(docs: DataFrame, shards: int = 40, rounds: int = 12, id_col: str = "do
 
 
 def sharded(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with its columns and two more, shard and slot; equal rows are told apart by number."""
+    """docs with its columns and two more, shard and slot, which replace columns of these names; equal rows are told apart by number.
+
+    Null texts are one group, null ids ids like others; an empty table gives an empty result; a long text is one row.
+    """
+    docs = docs.drop("shard", "slot")
     same = Window.partitionBy("__id", "__g", "__h")
     placed = shard(docs, shards, id_col=id_col, text_col=text_col, keys=True).select(F.col("doc_id").alias("__id"), F.col("g").alias("__g"), F.col("h").alias("__h"), "shard", "slot")
     placed = placed.withColumn("__row", F.row_number().over(same.orderBy("shard", "slot")))

@@ -7,7 +7,6 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -123,7 +122,7 @@ def test_shards(docs, rows, empty):
     assert (pairs["group_shards"] == 1).mean() > 0.8
     assert sharding.shard(empty).count() == 0
     kept = sharding.sharded(docs, 7)
-    assert kept.columns == [*docs.columns, "shard", "slot"] and kept.count() == len(rows)
+    assert kept.columns == [*(c for c in docs.columns if c != "shard"), "shard", "slot"] and kept.count() == len(rows)
 
 
 def test_mix(docs, rows, empty):
@@ -222,6 +221,12 @@ def test_tree_avoids_computations():
         want = sorted((i for i in range(1000) if i != q), key=lambda i: (-s[i], i))[:10]
         assert ids.tolist() == want and scores.tolist() == [s[i] for i in want]
     assert tree.avoided > 0 and tree.computed < 20 * 1000 / 5  # most pages are never opened
+    least = int(sorted(v @ v[0])[-10])
+    before = tree.computed
+    tree.search(v[0], 0, 10)
+    alone, before = tree.computed - before, tree.computed
+    scores, ids = tree.search(v[0], 0, 10, least)
+    assert tree.computed - before <= alone and min(scores) >= least and ids[0] == tree.search(v[0], 0, 10)[1][0]
 
 
 def brute_classes(rows):
@@ -299,6 +304,45 @@ def test_weights_in_a_large_vocabulary(spark):
     assert {r["doc_id"] for r in got} == want and all(r["class_id"] == r["doc_id"] - 1 for r in got)
 
 
+def test_edits_of_a_group_leave_out_no_link(spark):
+    """All pairs of a group of copies, copies of copies, shortened and joined texts, against across(): no pair of two components that is alike is missing."""
+    random = np.random.default_rng(21)
+    base = random.permutation(4000)[:160].tolist()
+    texts = [base]
+
+    def changed(words, n):
+        words = list(words)
+        for _ in range(n):
+            at, kind = int(random.integers(len(words))), random.random()
+            words[at : at + (kind < 0.7)] = [] if kind < 0.3 else [int(random.integers(4000, 9000))]
+        return words
+
+    for k in range(90):
+        texts.append(changed(base, int(random.integers(1, 14))))
+        if k % 3 == 0:  # families that share what was changed first
+            texts += [changed(texts[-1], int(random.integers(1, 5))) for _ in range(3)]
+        if k % 9 == 0:
+            texts.append(base[: int(random.integers(40, 150))])
+            texts.append(random.integers(9000, 20000, 60).tolist() + base[40:100])
+            texts += [texts[-1][: -int(random.integers(1, 12))] for _ in range(2)]
+    vec = {}
+    for i, t in enumerate(texts):
+        of = {}
+        for k in range(len(t) - 4):
+            key = hash(tuple(t[k : k + 5])) & 0xFFFFFFFF
+            of[key] = of.get(key, 0.0) + 1.0 + (key % 7) / 4
+        keys = np.array(sorted(of), np.uint32)
+        vec[i] = keys.tobytes() + np.array([of[int(x)] for x in keys], np.float32).tobytes()
+    like = lambda i, j: neardup.weighted_jaccard(vec[i], vec[j])
+    vecs = spark.createDataFrame([(i, bytearray(v)) for i, v in vec.items()], "node long, vec binary")
+    comp = {i: 0 if like(0, i) >= 0.8 else i for i in vec}
+    assert 20 < sum(c == 0 for c in comp.values()) < len(texts) - 60
+    group = spark.createDataFrame([(0, 0, i, c) for i, c in comp.items()], "to long, own long, node long, comp long")
+    got = {(r["a"], r["b"]) for r in neardup.across(group, vecs, 0.8).collect()}
+    want = {(i, j) for i in vec for j in vec if i < j and comp[i] != comp[j] and like(i, j) >= 0.8}
+    assert len(want) > 30 and want <= got and len(got) < len(texts) ** 2 / 8
+
+
 def test_components_of_a_long_path_in_random_order(spark):
     node = [int(x) for x in np.random.default_rng(7).permutation(1000)]
     links = spark.createDataFrame([(x, y) for k, (x, y) in enumerate(zip(node, node[1:])) if k != 699], "a long, b long")
@@ -335,28 +379,69 @@ def test_language_model(docs, rows, empty):
     assert none["n_tokens"] == 1
 
 
-def test_language_model_sums_to_one(spark):
-    texts = [(i, " ".join(np.random.default_rng(i).choice(["a", "b", "c", "d"], 12, p=[0.5, 0.3, 0.1, 0.1]))) for i in range(60)]
-    probe = [(100 + k, f"a {w}") for k, w in enumerate(["a", "b", "c", "d", "unseen"])] + [(200, "a")]
-    # Probes are kept from learning: their ids lie in the held-out fold.
-    held = [i for i in range(1000, 4000) if zlib.crc32(str(i).encode()) % 7 == 2][: len(probe)]
-    df = spark.createDataFrame(texts + [(h, t) for h, (_, t) in zip(held, probe, strict=True)], "doc_id long, text string")
-    got = {r["doc_id"]: r for r in lm.score(df).collect()}
-    trained = [t for i, t in texts if zlib.crc32(str(i).encode()) % 7 != 2]
-    assert got[held[0]]["train_tokens"] == sum(len(t.split()) + 1 for t in trained)
-    assert all(r["score"] > r["base_score"] - 3 for r in got.values())
-
+def brute_model(trained):
+    """Deleted interpolation as defined, on plain counts: P(word, v, u), its weights fitted to every single occurrence."""
+    tri, pair, word, seen = Counter(), Counter(), Counter(), []
+    for t in trained:
+        toks = ["<s>", "<s>", *t, "</s>"]
+        for k in range(2, len(toks)):
+            seen.append((toks[k], toks[k - 1], toks[k - 2]))
+    for w, v, u in seen:
+        tri[u, v, w] += 1
+        pair[v, w] += 1
+        word[w] += 1
+    before, context, total = Counter(), Counter(), len(seen)
+    for (u, v, w), n in tri.items():
+        context[u, v] += n
+    for (v, w), n in pair.items():
+        before[v] += n
+    log = lambda x: int(math.log2(max(1, x)))
+    bucket = lambda v, uv: log(uv) if uv > 0 else 64 + log(v)
+    groups = {}
+    for w, v, u in seen:
+        a, b, c, d, e = tri[u, v, w] - 1, pair[v, w] - 1, word[w] - 1, before[v] - 1, context[u, v] - 1
+        groups.setdefault(bucket(d, e), []).append((a / e if e else 0, b / d if d else 0, c / (total - 1), 1 / (len(word) + 1)))
+    weights = {}
+    for k, rows in groups.items():
+        p, x = np.array(rows), np.full(4, 0.25)
+        for _ in range(lm.ROUNDS):
+            r = p * x
+            x = (r / r.sum(1, keepdims=True)).mean(0)
+        weights[k] = (1 - lm.FLOOR) * x + lm.FLOOR * np.array([0, 0, 0.5, 0.5])
+
+    def probability(w, v, u):
+        d, e = before[v], context[u, v]
+        x = weights.get(bucket(d, e), np.array([0, 0, 0.5, 0.5])) * np.array([e > 0, d > 0, True, True])
+        return float((x * np.array([tri[u, v, w] / e if e else 0, pair[v, w] / d if d else 0, word[w] / total, 1 / (len(word) + 1)])).sum() / x.sum())
+
+    return probability, set(word)
+
+
+def test_language_model_is_deleted_interpolation(spark):
+    random = np.random.default_rng(3)
+    vocabulary = [f"w{k}" for k in range(40)]
+    share = 1 / np.arange(1, 41)
+    texts = [(i, " ".join(random.choice(vocabulary, random.integers(0, 60), p=share / share.sum()))) for i in range(300)]
+    texts += [(1000 + i, "w1 w2 w3 w4 unseen" + str(i % 9)) for i in range(60)]
+    learned = lambda i: zlib.crc32(str(i).encode()) % 7 != 2
+    probability, known = brute_model([t.split() for i, t in texts if learned(i)])
+    for v, u in (("w1", "w2"), ("<s>", "<s>"), ("w39", "w38"), ("never", "w1"), ("w1", "never")):
+        assert abs(sum(probability(w, v, u) for w in known) + probability("another", v, u) - 1) < 1e-9
+    got = {r["doc_id"]: r["score"] for r in lm.score(spark.createDataFrame(texts, "doc_id long, text string"), block=1 << 13).collect()}
+    for i, t in texts:
+        toks = ["<s>", "<s>", *t.split(), "</s>"]
+        want = sum(math.log10(probability(toks[k], toks[k - 1], toks[k - 2])) for k in range(2, len(toks)))
+        assert abs(got[i] - want) < 0.01 * (len(toks) - 2)
 
-def test_language_model_weights_do_not_depend_on_scale():
-    def weights(scale):
-        rows = [(1000.0, 2.0**r, scale * 2.0**c, n) for r, c, n in ((1, 14, 500), (3, 18, 300), (0, 19, 200), (0, 12, 100))]
-        ratio, count = lm.level(np.array([x[1] for x in rows]) * (np.array([x[1] for x in rows]) > 1)), lm.level(np.array([x[2] for x in rows]))
-        cell = (lm.bucket(np.array([x[0] for x in rows])) * lm.LEVELS + ratio) * lm.LEVELS + count
-        out = lm.learn(pd.DataFrame({"cell": cell, "n": [x[3] for x in rows], "total": scale * 2.0**21, "distinct": 1e5}))
-        return np.frombuffer(out["weights"][0]).reshape(-1, 3)
 
-    assert lm.level(np.array([2.0**26, 2.0**40, 2.0**62])).tolist() == [53, 81, 125]
-    assert np.allclose(weights(1.0), weights(2.0**12), atol=1e-4)
+def test_language_model_estimates_at_any_count():
+    """Probabilities come from counts up to 2^62 as from small ones of the same ratios."""
+    weights = np.tile([0.4, 0.3, 0.2, 0.1], (lm.BUCKETS, 1))
+    small = [np.array([x], np.float64) for x in (8, 4, 2, 16, 8)]
+    large = [x * 2.0**58 for x in small]
+    p, q = lm.probabilities(*small, 64.0, 9.0, weights), lm.probabilities(*large, 64.0 * 2.0**58, 9.0, weights)
+    assert np.allclose(p, q) and np.allclose(p, 0.4 * 0.25 + 0.3 * 0.25 + 0.2 * 0.125 + 0.1 * 0.1)
+    assert lm.bucket(np.array([2.0**62]), np.array([0.0])).tolist() == [126] and lm.bucket(np.array([1.0]), np.array([2.0**62])).tolist() == [62]
 
 
 def brute_hits(text, items):
@@ -379,8 +464,28 @@ def test_decontamination(spark, docs, rows, empty):
     got = Counter((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"]) for r in decontaminate.op8(docs, bench).collect())
     assert got == Counter((i, *brute_hits(t, items)) for i, t, _, _ in rows)
     assert decontaminate.op8(empty, bench).count() == 0 and decontaminate.op8(docs, bench.limit(0)).filter("contaminated").count() == 0
-    near = decontaminate.proximity(spark.createDataFrame([(1, "x a y b z b"), (2, "b a")], "doc_id long, text string"), spark.createDataFrame([("a", "b")], "a string, b string"), 3)
-    assert [(r["id"], r["first"], r["second"]) for r in near.collect()] == [(1, 1, 3)]
+
+
+def test_proximity_of_the_rarest_words(spark):
+    """A window's two rarest words in order, up to three words nearer or further apart; the phrase itself is a hit and no proximity match."""
+    common = "of the and to in on at by we"
+    docs = [(1, f"{common} alpha x y beta {common}"), (2, f"{common} alpha x y z q beta"), (3, "alpha x y 1 2 3 4 5 beta"), (4, "beta x y alpha"), (5, "alpha beta"), (6, None), (7, f"{common} " * 9), (None, "alpha x y of beta")]
+    bench = [(9, "alpha x y beta"), (8, "single"), (7, "single and more")]
+    got = {r["id"]: r for r in decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    assert {i for i, r in got.items() if r["items"]} == {1} and got[1]["n_hit"] == 4 and got[1]["near"] == []
+    # The rarest of alpha, x, y and beta are those that stand least often: x and y, which stand together in five texts.
+    rare = sorted((sum((t or "").split().count(w) for _, t in docs), k, w) for k, w in enumerate("alpha x y beta".split()))[:2]
+    (_, k1, w1), (_, k2, w2) = rare
+    for i, t in docs:
+        ws = (t or "").split()
+        want = any(w1 == a and w2 == b and 1 <= abs(q - p - (k2 - k1)) <= 3 for p, a in enumerate(ws) for q, b in enumerate(ws))
+        assert (got[i]["near"] == ["9"]) == want, (i, got[i], rare)
+
+
+def test_a_word_that_repeats_through_document_and_item(spark):
+    docs = spark.createDataFrame([(1, "word " * 3000), (2, "word " * 9), (3, "other")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in decontaminate.op8(docs, spark.createDataFrame([(1, "word " * 400)], "item_id long, text string")).collect()}
+    assert [(got[i]["n_hit"], got[i]["n_items"]) for i in (1, 2, 3)] == [(3000, 1), (0, 0), (0, 0)]
 
 
 def test_main_text(spark):
@@ -408,7 +513,7 @@ def test_only_raw_text_runs_to_the_end_of_a_page():
 def test_labeller_on_new_pages():
     net = html.trained()
     found = html.examples(60, 1234)
-    prob = net.label([x for x, _, _ in found])
+    prob = net.label([html.blocks(p) for _, _, p in found])
     assert np.mean(np.concatenate([(p >= 0.5) == y for p, (_, y, _) in zip(prob, found, strict=True)])) > 0.95
 
 
@@ -435,7 +540,7 @@ def test_labeller_gradient():
 
 
 def test_licenses(spark, docs, rows, empty):
-    notice = dict(licenses.NOTICES)["bsd"]
+    notice = next(t for label, t in licenses.NOTICES if label == "bsd")
     texts = [(1, "Released under the MIT License."), (2, "Apache License, Version 2.0 and CC BY-NC 4.0 and cc by nc"), (3, "under the MIT and BSD license"), (4, None), (5, ""), (6, "x " + notice.replace("binary", "object binary") + " y"), (7, "under the mit license " * 300), (1, "Released under the MIT License."), (8, notice.split("are")[0][:30])]
     got = [r.asDict() for r in licenses.op10(spark.createDataFrame(texts, "doc_id long, text string")).collect()]
     assert len(got) == len(texts)
@@ -451,6 +556,45 @@ def test_licenses(spark, docs, rows, empty):
     assert licenses.op10(docs).count() == len(rows) and licenses.op10(empty).count() == 0
 
 
+def test_license_labels_by_share_of_words(spark):
+    """The first words of each notice, alone, after other words and with words put in: labelled if the share of its k-grams reaches the limit."""
+    texts, want = [], {}
+    share = lambda w, own: len({tuple(w[k : k + 3]) for k in range(len(w) - 2)} & (g := {tuple(own[k : k + 3]) for k in range(len(own) - 2)})) / len(g)
+    for n, (label, notice) in enumerate(licenses.NOTICES):
+        own = licenses.split(notice)
+        for part, k in enumerate((0.3, 0.55, 0.65, 1.0)):
+            cut = own[: round(len(own) * k)]
+            for form, w in enumerate((cut, ["unrelated", "words"] * 5 + cut, [x for i, y in enumerate(cut) for x in ([y, "put"] if i % 11 == 10 else [y])])):
+                i = n * 100 + part * 10 + form
+                texts.append((i, " ".join(w)))
+                want[i] = {x for x, t in licenses.NOTICES if share(w, licenses.split(t)) >= 0.6}
+    got = {r["doc_id"]: set(filter(None, r["labels"].split(","))) - set(filter(None, r["base_labels"].split(","))) for r in licenses.op10(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    base = {r["doc_id"]: set(filter(None, r["base_labels"].split(","))) for r in licenses.op10(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert all(got[i] | base[i] == want[i] | base[i] for i, _ in texts), [(i, got[i], want[i]) for i, _ in texts if got[i] | base[i] != want[i] | base[i]][:5]
+
+
+def test_shards_replace_columns_of_their_names(spark):
+    rows = spark.createDataFrame([(k, f"text {k % 3}", 9, "s") for k in range(20)], "doc_id long, text string, shard int, slot string")
+    got = sharding.sharded(rows, 4)
+    assert got.columns == ["doc_id", "text", "shard", "slot"] and sorted(r["doc_id"] for r in got.collect()) == list(range(20)) and {r["shard"] for r in got.collect()} == {0, 1, 2, 3}
+
+
+def test_running_sums_in_pieces(spark):
+    random = np.random.default_rng(8)
+    rows = [(int(random.integers(3)), int(random.integers(1, 6)), k) for k in range(400)]
+    df = spark.createDataFrame(rows, "k long, n long, i long")
+    for largest in (False, True):
+        got = common.before(df, ["k"], "n", ["i"], F.col("i"), 8, "b", largest).collect()
+        for k in range(3):
+            own = sorted((r["b"], r["n"], r["i"]) for r in got if r["k"] == k)
+            total = 0
+            for b, n, _ in own:
+                assert b == total
+                total += n
+            if largest:
+                assert [n for _, n, _ in own] == sorted((n for _, n, _ in own), reverse=True)
+
+
 def test_pipeline(spark, rows, tmp_path):
     import corpus_pipeline
 
