@@ -156,11 +156,12 @@ occ AS (SELECT d.doc_id, d.i, win.n, win.item_id FROM (SELECT doc_id, w, unnest(
   UNION ALL SELECT d.doc_id, d.i, win.n, win.item_id FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d) d JOIN win ON win.n < 10 AND array_to_string(d.w[d.i:d.i + win.n - 1], ' ') = win.g),
 hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM occ) GROUP BY 1),
 ids AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS s FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM occ) GROUP BY 1),
-ids_of AS (SELECT DISTINCT item_id, w FROM b WHERE len(w) > 0), tok AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS term FROM d), seen AS (SELECT term, count(*) AS seen FROM tok GROUP BY 1),
-pos AS (SELECT item_id, w, p.at, w[p.at] AS term, coalesce(seen, 0) AS seen FROM (SELECT item_id, w, unnest(range(1, len(w) + 1)) AS at FROM ids_of) p LEFT JOIN seen ON seen.term = p.w[p.at]),
-two AS (SELECT s.item_id, s.w, s.at AS s, list(struct_pack(seen := e.seen, at := e.at, term := e.term) ORDER BY e.seen, e.at) AS r FROM pos s JOIN pos e ON e.item_id IS NOT DISTINCT FROM s.item_id AND e.w = s.w AND e.at BETWEEN s.at AND s.at + 9 WHERE s.at <= greatest(1, len(s.w) - 9) GROUP BY 1, 2, 3),
-pair AS (SELECT DISTINCT item_id, r[1].term AS t1, r[1].at AS a1, r[2].term AS t2, r[2].at AS a2 FROM two WHERE len(r) > 1 AND r[1].seen > 0), lead AS (SELECT tok.doc_id, pair.*, tok.i FROM tok JOIN pair ON tok.term = pair.t1),
-close AS (SELECT l.doc_id, count(DISTINCT l.item_id) AS n_near FROM lead l JOIN tok ON tok.doc_id = l.doc_id AND tok.term = l.t2 AND abs(tok.i - l.i - (l.a2 - l.a1)) BETWEEN 1 AND 3 GROUP BY 1)
+refs AS (SELECT item_id, w, row_number() OVER () AS ref FROM (SELECT DISTINCT item_id, w FROM b WHERE len(w) > 0)), words AS (SELECT ref, item_id, len(w) AS n, unnest(w) AS term, unnest(range(1, len(w) + 1)) AS p FROM refs),
+tok AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS term FROM d), seen AS (SELECT term, count(*) AS seen FROM tok GROUP BY 1), pos AS (SELECT words.*, coalesce(seen, 0) AS seen FROM words LEFT JOIN seen USING (term)),
+two AS (SELECT item_id, n, p, list_sort(list(struct_pack(seen := seen, p := p, term := term)) OVER (PARTITION BY ref ORDER BY p ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING)) AS r FROM pos),
+pair AS (SELECT DISTINCT item_id, r[1].term AS t1, r[1].p AS a1, r[2].term AS t2, r[2].p AS a2 FROM two WHERE p <= greatest(1, n - 9) AND len(r) > 1 AND r[1].seen > 0),
+lead AS (SELECT DISTINCT tok.doc_id, pair.item_id, pair.t2, tok.i - pair.a1 + pair.a2 AS want FROM tok JOIN pair ON tok.term = pair.t1),
+close AS (SELECT l.doc_id, count(DISTINCT l.item_id) AS n_near FROM lead l CROSS JOIN (SELECT unnest([-3, -2, -1, 1, 2, 3]) AS shift) JOIN tok ON tok.doc_id = l.doc_id AND tok.i = l.want + shift AND tok.term = l.t2 GROUP BY 1)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
   sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
 FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN ids ON ids.doc_id = d.doc_id LEFT JOIN close ON close.doc_id = d.doc_id
