@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tables import held
+from .components import settled
 
 
 def near_pairs(points: DataFrame, distance: int, key: str = "set_id", id_col: str = "n") -> DataFrame:
@@ -16,20 +17,12 @@ def near_pairs(points: DataFrame, distance: int, key: str = "set_id", id_col: st
     return a.join(b, [key, "cx", "cy"]).filter(F.expr(f"a < b and (x1 - x2) * (x1 - x2) + (y1 - y2) * (y1 - y2) <= {distance * distance}")).select(key, "a", "b")
 
 
-def single_linkage(points: DataFrame, distance: int, key: str = "set_id", id_col: str = "n", most: int = 100) -> DataFrame:
+def single_linkage(points: DataFrame, distance: int, key: str = "set_id", id_col: str = "n") -> DataFrame:
     """(key, id, cluster): points joined by chains of steps of at most `distance`; a cluster is named by its least id."""
     edge = near_pairs(points, distance, key, id_col)
     both = held(edge.unionByName(edge.select(key, F.col("b").alias("a"), F.col("a").alias("b"))), "link-edges")
     state = held(points.select(key, F.col(id_col).alias("id")).distinct().withColumn("cluster", F.col("id")), "link-labels")
-    for _ in range(most):
-        near = both.join(state.select(key, F.col("id").alias("b"), F.col("cluster").alias("c")), [key, "b"]).groupBy(key, F.col("a").alias("id")).agg(F.min("c").alias("c"))
-        step = state.join(near, [key, "id"], "left").select(key, "id", F.col("cluster").alias("old"), F.least("cluster", F.coalesce("c", "cluster")).alias("mid"))
-        jump = state.select(key, F.col("id").alias("mid"), F.col("cluster").alias("far"))
-        new = held(step.join(jump, [key, "mid"], "left").select(key, "id", "old", F.least("mid", "far").alias("cluster")), "link-labels")
-        state = new.select(key, "id", "cluster")
-        if not new.filter("old <> cluster").limit(1).count():
-            break
-    return state
+    return settled(both, state, [key], "id", "cluster", "link-labels")
 
 
 def cluster_sizes(labels: DataFrame, key: str = "set_id") -> DataFrame:

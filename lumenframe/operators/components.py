@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.grid import along
-from ..functions.tables import held
+from ..functions.tables import held, let_go
 
 
 def runs(df: DataFrame) -> DataFrame:
@@ -14,37 +14,52 @@ def runs(df: DataFrame) -> DataFrame:
     return df.withColumn("__g", F.col("x") - F.row_number().over(along())).withColumn("x0", F.min("x").over(Window.partitionBy("img_id", "y", "__g"))).drop("__g")
 
 
+def run_name() -> Column:
+    """y * 2^31 + x0: coordinates are 32-bit whole numbers and not negative, so names don't collide."""
+    return (F.col("y").cast("long") * (1 << 31) + F.col("x0")).alias("run")
+
+
 def links(pixels: DataFrame, diagonal: bool) -> DataFrame:
-    """(img_id, a, b): runs of neighbouring rows that touch; a run is named by y * 2^20 + x0."""
-    name = (F.col("y").cast("long") * (1 << 20) + F.col("x0")).alias("run")
-    r = runs(pixels).select("img_id", "y", "x", name)
+    """(img_id, a, b): runs of neighbouring rows that touch, by run_name()."""
+    r = runs(pixels).select("img_id", "y", "x", run_name())
     below = r.select("img_id", (F.col("y") - 1).alias("y"), F.col("x").alias("x"), F.col("run").alias("b"))
     if diagonal:
         below = below.withColumn("x", F.explode(F.array(F.col("x") - 1, F.col("x"), F.col("x") + 1)))
     return r.withColumnRenamed("run", "a").join(below, ["img_id", "y", "x"]).select("img_id", "a", "b").distinct()
 
 
-def labelled(pixels: DataFrame, diagonal: bool = False, most: int = 200) -> DataFrame:
-    """pixels with comp, the least run of their component: labels spread along links and jump to their label's label until none changes.
+def labelled(pixels: DataFrame, diagonal: bool = False) -> DataFrame:
+    """pixels with comp, the least run of their component.
 
-    Vertices are runs of pixels, some times fewer than pixels. Each round is a written table, so a lost executor costs one round.
+    Vertices are runs of pixels, some times fewer than pixels. Each round a run and the run that it was named after take the least label around the
+    first, then that label's label; as whole regions move with the run they are named after, rounds stay few. Each round is a written table, so a lost
+    executor costs one round; ends when nothing moves.
     """
-    own = runs(pixels)
-    own = held(own.withColumn("run", F.col("y").cast("long") * (1 << 20) + F.col("x0")), "cc-runs")
+    own = held(runs(pixels).withColumn("run", run_name()), "cc-runs")
     edge = links(pixels, diagonal)
     both = held(edge.unionByName(edge.select("img_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-links")
     state = held(own.select("img_id", "run").distinct().withColumn("comp", F.col("run")), "cc-labels")
-    for _ in range(most):
-        near = both.join(state.select("img_id", F.col("run").alias("b"), F.col("comp").alias("c")), ["img_id", "b"]).groupBy("img_id", F.col("a").alias("run")).agg(F.min("c").alias("c"))
-        step = state.join(near, ["img_id", "run"], "left").select("img_id", "run", F.col("comp").alias("old"), F.least("comp", F.coalesce("c", "comp")).alias("mid"))
-        jump = state.select("img_id", F.col("run").alias("mid"), F.col("comp").alias("far"))
-        new = held(step.join(jump, ["img_id", "mid"], "left").select("img_id", "run", "old", F.least("mid", "far").alias("comp")), "cc-labels")
-        state = new.select("img_id", "run", "comp")
-        if not new.filter("old <> comp").limit(1).count():
-            break
+    state = settled(both, state, ["img_id"], "run", "comp", "cc-labels")
     return own.join(state, ["img_id", "run"]).select(*pixels.columns, "comp")
 
 
+def settled(both: DataFrame, state: DataFrame, keys: list[str], vertex: str, label: str, name: str) -> DataFrame:
+    """Labels (keys, vertex, label) spread along links (keys, a, b), both ways, until none changes; the label of a component is its least vertex."""
+    moved = True
+    while moved:
+        near = both.join(state.select(*keys, F.col(vertex).alias("b"), F.col(label).alias("c")), [*keys, "b"]).groupBy(*keys, F.col("a").alias(vertex)).agg(F.min("c").alias("c"))
+        step = state.join(near, [*keys, vertex], "left").select(*keys, vertex, F.col(label).alias("old"), F.least(label, F.coalesce("c", label)).alias("mid"))
+        named = step.filter("mid < old").groupBy(*keys, F.col("old").alias(vertex)).agg(F.min("mid").alias("hook"))
+        hooked = held(step.join(named, [*keys, vertex], "left").select(*keys, vertex, "old", F.least("mid", F.coalesce("hook", "mid")).alias("mid")), name)
+        jump = hooked.select(*keys, F.col(vertex).alias("mid"), F.col("mid").alias("far"))
+        new = held(hooked.join(jump, [*keys, "mid"], "left").select(*keys, vertex, "old", F.least("mid", F.coalesce("far", "mid")).alias(label)), name)
+        moved = new.filter(f"old <> {label}").limit(1).count() > 0
+        let_go(state)
+        let_go(hooked)
+        state = new.select(*keys, vertex, label)
+    return state
+
+
 def moments(labels: DataFrame, least: int = 1) -> DataFrame:
     """(img_id, comp, yb, xb, m, mx, my, mxx, mxy, myy): first pixel by rows, mass and moments of each component of at least `least` pixels."""
     x, y = F.col("x").cast("long"), F.col("y").cast("long")

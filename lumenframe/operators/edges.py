@@ -55,12 +55,17 @@ def smoothed(df: DataFrame, sigma: float | Column, most: float | None = None) ->
     return gaussian(df, sigma, 90.0, most).withColumn("v", F.floor(F.col("v") + 0.5).cast("int"))
 
 
-def thresholds(peaks: DataFrame, low: float | Column, high: float | Column) -> DataFrame:
-    """(img_id, hi, lo): hi is the magnitude below which the share `high` of the peaks lies, at most one below the largest; lo = hi * low, rounded."""
-    counts = peaks.groupBy("img_id", "mag").agg(F.count(F.lit(1)).alias("n"))
+def thresholds(peaks: DataFrame, low: float | str, high: float | str) -> DataFrame:
+    """(img_id, hi, lo): hi is the magnitude below which the share `high` of the peaks lies, at most one below the largest; lo = hi * low, rounded.
+
+    low and high are numbers, or names of columns of peaks that have one value for each image.
+    """
+    own = [c for c in (low, high) if isinstance(c, str)]
+    low, high = (F.col(c) if isinstance(c, str) else F.lit(c) for c in (low, high))
+    counts = peaks.groupBy("img_id", *own, "mag").agg(F.count(F.lit(1)).alias("n"))
     up_to = Window.partitionBy("img_id").orderBy("mag").rowsBetween(Window.unboundedPreceding, 0)
     cum = counts.withColumn("cum", F.sum("n").over(up_to)).withColumn("mass", F.sum("n").over(Window.partitionBy("img_id")))
-    found = cum.groupBy("img_id").agg(F.min(F.when(F.col("cum") >= F.floor(F.col("mass") * high + 0.5), F.col("mag"))).alias("h"), F.max("mag").alias("top"))
+    found = cum.groupBy("img_id", *own).agg(F.min(F.when(F.col("cum") >= F.floor(F.col("mass") * high + 0.5), F.col("mag"))).alias("h"), F.max("mag").alias("top"))
     hi = F.greatest(F.lit(1), F.least(F.col("h"), F.col("top") - 1))
     return found.select("img_id", hi.cast("int").alias("hi"), F.floor(hi * low + 0.5).cast("int").alias("lo"))
 

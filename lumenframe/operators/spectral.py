@@ -2,38 +2,94 @@
 
 from __future__ import annotations
 
-import math
 import zlib
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 
-def fourier(vec: DataFrame, n: int, inverse: bool = False) -> DataFrame:
-    """(vec_id, k, re, im): discrete Fourier transform. Each value meets its n factors in its own row; the shuffle carries n sums a vector."""
-    turn = (1 if inverse else -1) * 2 * math.pi / n
-    k = vec.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    angle = turn * F.pmod(F.col("k") * F.col("i"), F.lit(n))
-    return k.groupBy("vec_id", "k").agg(F.round(F.sum(F.col("e") * F.cos(angle)), 6).alias("re"), F.round(F.sum(F.col("e") * F.sin(angle)), 6).alias("im"))
+def transformed(df: DataFrame, key: str, axes: list[str], values: list[str], out: list[str], run: Callable[..., list[np.ndarray]]) -> DataFrame:
+    """(key, axes, out): run on each key's values as arrays over the axes, which count from 0 without gaps. One key is one row while it is worked on."""
+    packed = df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*axes, *(F.col(v).cast("double").alias(f"__{k}") for k, v in enumerate(values))))).alias("p"))
+    packed = packed.select(key, *(F.array_max(F.col(f"p.{a}")).alias(f"__n{k}") for k, a in enumerate(axes)), *(F.col(f"p.__{k}").alias(f"__{k}") for k in range(len(values))))
+    kind = df.schema[key].dataType.simpleString()
+    schema = f"{key} {kind}, " + ", ".join([f"{a} int" for a in axes] + [f"{o} double" for o in out])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                shape = [b.column(1 + k)[i].as_py() + 1 for k in range(len(axes))]
+                found = run(*(np.asarray(b.column(1 + len(axes) + k)[i].as_py(), np.float64).reshape(shape) for k in range(len(values))))
+                places = np.indices(found[0].shape, np.int32).reshape(len(axes), -1)
+                n = places.shape[1]
+                yield pa.RecordBatch.from_arrays([pa.array([b.column(0)[i].as_py()] * n, b.column(0).type), *(pa.array(p) for p in places), *(pa.array(f.reshape(-1), pa.float64()) for f in found)], names=[key, *axes, *out])
+
+    return packed.mapInArrow(each, schema)
+
+
+def fourier(df: DataFrame, axes: list[str], value: str = "e", key: str = "vec_id", imaginary: str | None = None, inverse: bool = False) -> DataFrame:
+    """(key, axes, re, im): discrete Fourier transform over one or more axes; the inverse is divided by the number of values."""
+
+    def run(re, im=None):
+        z = re if im is None else re + 1j * im
+        f = np.fft.ifftn(z) if inverse else np.fft.fftn(z)
+        return [np.round(f.real, 6) + 0.0, np.round(f.imag, 6) + 0.0]
+
+    return transformed(df, key, axes, [value] + ([imaginary] if imaginary else []), ["re", "im"], run)
+
+
+def bit_reversed(n: int) -> np.ndarray:
+    """0 to n - 1, n being a power of two, with their bits in reverse order."""
+    bits = n.bit_length() - 1
+    k = np.arange(n)
+    return sum(((k >> b) & 1) << (bits - 1 - b) for b in range(bits)) if bits else k
+
+
+def walsh_lines(x: np.ndarray) -> np.ndarray:
+    """Walsh-Hadamard transform along the last axis, in dyadic order."""
+    n = x.shape[-1]
+    if n & (n - 1):
+        raise ValueError("lengths must be powers of two")
+    step = 1
+    while step < n:
+        pairs = x.reshape(*x.shape[:-1], n // (2 * step), 2, step)
+        x = np.stack([pairs[..., 0, :] + pairs[..., 1, :], pairs[..., 0, :] - pairs[..., 1, :]], axis=-2).reshape(x.shape)
+        step *= 2
+    return x[..., bit_reversed(n)]
+
+
+def haar_lines(x: np.ndarray) -> np.ndarray:
+    """Un-normalised Haar transform along the last axis: first the sum, then differences from the coarsest to the finest."""
+    if x.shape[-1] & (x.shape[-1] - 1):
+        raise ValueError("lengths must be powers of two")
+    parts = []
+    while x.shape[-1] > 1:
+        parts.append(x[..., 0::2] - x[..., 1::2])
+        x = x[..., 0::2] + x[..., 1::2]
+    return np.concatenate([x, *parts[::-1]], axis=-1)
+
+
+def along_axes(run: Callable[[np.ndarray], np.ndarray]) -> Callable[[np.ndarray], list[np.ndarray]]:
+    def f(x: np.ndarray) -> list[np.ndarray]:
+        for axis in range(x.ndim):
+            x = np.moveaxis(run(np.moveaxis(x, axis, -1)), -1, axis)
+        return [np.round(x, 6) + 0.0]
+
+    return f
 
 
-def walsh(vec: DataFrame, n: int) -> DataFrame:
-    """(vec_id, k, e): Walsh-Hadamard transform in natural order."""
-    k = vec.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    sign = 1 - 2 * (F.bit_count(F.col("i").bitwiseAND(F.col("k"))) % 2)
-    return k.groupBy("vec_id", "k").agg(F.round(F.sum(F.col("e") * sign), 6).alias("e"))
+def walsh(df: DataFrame, axes: list[str], value: str = "e", key: str = "vec_id") -> DataFrame:
+    """(key, axes, e): Walsh-Hadamard transform over one or more axes, in dyadic order."""
+    return transformed(df, key, axes, [value], ["e"], along_axes(walsh_lines))
 
 
-def haar(vec: DataFrame, power: int) -> DataFrame:
-    """(vec_id, k, e): un-normalised Haar transform of 2^power values: k = 0 is the sum; 2^l + b is the difference of the halves of block b at level l."""
-    n = 1 << power
-    parts = [F.struct(F.lit(0).alias("k"), F.lit(1).alias("sign"))]
-    for level in range(power):
-        size = n >> level
-        parts.append(F.struct((F.lit(1 << level) + F.expr(f"i div {size}")).cast("int").alias("k"), F.when(F.expr(f"i % {size}") < size // 2, 1).otherwise(-1).alias("sign")))
-    return vec.withColumn("p", F.explode(F.array(*parts))).groupBy("vec_id", F.col("p.k").alias("k")).agg(F.round(F.sum(F.col("e") * F.col("p.sign")), 6).alias("e"))
+def haar(df: DataFrame, axes: list[str], value: str = "e", key: str = "vec_id") -> DataFrame:
+    """(key, axes, e): un-normalised Haar transform over one or more axes, one after the other."""
+    return transformed(df, key, axes, [value], ["e"], along_axes(haar_lines))
 
 
 def sync_loss(df: DataFrame) -> DataFrame:

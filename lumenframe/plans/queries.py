@@ -228,9 +228,19 @@ add("pca_expand", "vec", lambda v: statistics.principal(v, 64, 4), None)
 add("ndc_classify", "vec", lambda v: statistics.gaussian_classes(v, 64), None)
 
 # --- transforms, quality, whole numbers
-add("dft", "vec", lambda v: spectral.fourier(v, 64), "WITH vec AS ({t}) SELECT vec_id, CAST(k AS INTEGER) AS k, round(sum(e * cos(-2 * pi() / 64 * ((k * i) % 64))), 6) AS re, round(sum(e * sin(-2 * pi() / 64 * ((k * i) % 64))), 6) AS im FROM vec CROSS JOIN (SELECT unnest(range(64)) AS k) GROUP BY 1, 2")
-add("walsh", "vec", lambda v: spectral.walsh(v, 64), "WITH vec AS ({t}) SELECT vec_id, CAST(k AS INTEGER) AS k, round(sum(CASE WHEN bit_count(i & CAST(k AS INTEGER)) % 2 = 0 THEN e ELSE -e END), 6) AS e FROM vec CROSS JOIN (SELECT unnest(range(64)) AS k) GROUP BY 1, 2")
-add("haar", "vec", lambda v: spectral.haar(v, 6), "WITH vec AS ({t}), l AS (SELECT CAST(1 << unnest(range(6)) AS INTEGER) AS b), u AS (SELECT vec_id, 0 AS k, e FROM vec UNION ALL SELECT vec_id, CAST(b + i // (64 // b) AS INTEGER), CASE WHEN i % (64 // b) < 32 // b THEN e ELSE -e END FROM vec CROSS JOIN l) SELECT vec_id, k, round(sum(e), 6) AS e FROM u GROUP BY 1, 2")
+add("dft", "vec", lambda v: spectral.fourier(v, ["i"]).withColumnRenamed("i", "k"), "WITH vec AS ({t}) SELECT vec_id, CAST(k AS INTEGER) AS k, round(sum(e * cos(-2 * pi() / 64 * ((k * i) % 64))), 6) AS re, round(sum(e * sin(-2 * pi() / 64 * ((k * i) % 64))), 6) AS im FROM vec CROSS JOIN (SELECT unnest(range(64)) AS k) GROUP BY 1, 2")
+_REV = "({k} // 32 + ({k} // 16 % 2) * 2 + ({k} // 8 % 2) * 4 + ({k} // 4 % 2) * 8 + ({k} // 2 % 2) * 16 + ({k} % 2) * 32)"
+_REV8 = "({k} // 4 + ({k} // 2 % 2) * 2 + ({k} % 2) * 4)"
+add("walsh", "vec", lambda v: spectral.walsh(v, ["i"]).withColumnRenamed("i", "k"), "WITH vec AS ({t}) SELECT vec_id, CAST(k AS INTEGER) AS k, round(sum(CASE WHEN bit_count(i & CAST(" + _REV.format(k="k") + " AS INTEGER)) % 2 = 0 THEN e ELSE -e END), 6) AS e FROM vec CROSS JOIN (SELECT unnest(range(64)) AS k) GROUP BY 1, 2")
+add("haar", "vec", lambda v: spectral.haar(v, ["i"]).withColumnRenamed("i", "k"), "WITH vec AS ({t}), l AS (SELECT CAST(1 << unnest(range(6)) AS INTEGER) AS b), u AS (SELECT vec_id, 0 AS k, e FROM vec UNION ALL SELECT vec_id, CAST(b + i // (64 // b) AS INTEGER), CASE WHEN i % (64 // b) < 32 // b THEN e ELSE -e END FROM vec CROSS JOIN l) SELECT vec_id, k, round(sum(e), 6) AS e FROM u GROUP BY 1, 2")
+_K8 = "(SELECT CAST(unnest(range(8)) AS INTEGER) AS p) a, (SELECT CAST(unnest(range(8)) AS INTEGER) AS q) b"
+add("dft_2d", "img8", lambda g: spectral.fourier(g, ["y", "x"], "v", "img_id"), f"WITH g AS ({{t}}) SELECT img_id, p AS y, q AS x, round(sum(v * cos(-2 * pi() / 8 * ((p * y + q * x) % 8))), 6) + 0 AS re, round(sum(v * sin(-2 * pi() / 8 * ((p * y + q * x) % 8))), 6) + 0 AS im FROM g, {_K8} GROUP BY 1, 2, 3")
+add("dft_back", "img8", lambda g: spectral.fourier(spectral.fourier(g, ["y", "x"], "v", "img_id"), ["y", "x"], "re", "img_id", "im", True).select("img_id", "y", "x", F.round("re", 3).cast("int").alias("v")), "SELECT img_id, y, x, v FROM ({t})")
+add("dft_3d", "vec", lambda v: spectral.fourier(v.select("vec_id", F.expr("cast(i div 16 as int)").alias("z"), F.expr("cast(i div 4 % 4 as int)").alias("y"), (F.col("i") % 4).alias("x"), "e"), ["z", "y", "x"]), "WITH g AS ({t}), k AS (SELECT CAST(unnest(range(64)) AS INTEGER) AS k) SELECT vec_id, k // 16 AS z, k // 4 % 4 AS y, k % 4 AS x, round(sum(e * cos(-pi() / 2 * (((k // 16) * (i // 16) + (k // 4 % 4) * (i // 4 % 4) + (k % 4) * (i % 4)) % 4))), 6) + 0 AS re, round(sum(e * sin(-pi() / 2 * (((k // 16) * (i // 16) + (k // 4 % 4) * (i // 4 % 4) + (k % 4) * (i % 4)) % 4))), 6) + 0 AS im FROM g CROSS JOIN k GROUP BY 1, 2, 3, 4")
+add("walsh_2d", "img8", lambda g: spectral.walsh(g, ["y", "x"], "v", "img_id"), f"WITH g AS ({{t}}) SELECT img_id, p AS y, q AS x, CAST(sum(CASE WHEN (bit_count(y & {_REV8.format(k='p')}) + bit_count(x & {_REV8.format(k='q')})) % 2 = 0 THEN v ELSE -v END) AS DOUBLE) AS e FROM g, {_K8} GROUP BY 1, 2, 3")
+_HAAR8 = "CASE WHEN {k} = 0 THEN 1 WHEN {i} // CAST(8 / {b} AS INTEGER) <> {k} - {b} THEN 0 WHEN {i} % CAST(8 / {b} AS INTEGER) < CAST(4 / {b} AS INTEGER) THEN 1 ELSE -1 END"
+_BAND = "CASE WHEN {k} >= 4 THEN 4 WHEN {k} >= 2 THEN 2 ELSE 1 END"
+add("haar_2d", "img8", lambda g: spectral.haar(g, ["y", "x"], "v", "img_id"), f"WITH g AS ({{t}}) SELECT img_id, p AS y, q AS x, CAST(sum(v * {_HAAR8.format(k='p', i='y', b='(' + _BAND.format(k='p') + ')')} * {_HAAR8.format(k='q', i='x', b='(' + _BAND.format(k='q') + ')')}) AS DOUBLE) AS e FROM g, {_K8} GROUP BY 1, 2, 3")
 def _pyramid(levels: int) -> str:
     """SQL: p0 to p<levels>, each half the size of the one before, and e(img_id, level, e), their energies."""
     parts = ["p0 AS ({t})"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries as _own
+from . import more, queries  # noqa: F401  `more` adds to the tables of `queries`
 
-QUERIES = dict(_own.QUERIES)
-ORACLE_SQL = dict(_own.ORACLE_SQL)
+QUERIES = dict(queries.QUERIES)
+ORACLE_SQL = dict(queries.ORACLE_SQL)
