@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir), docs being what the stage before it kept, and returns a DataFrame; all but the last return the columns of
 docs. run() writes each stage's result to the shared folder and rereads it for the next.
+
+In every stage null ids are ids like others, rows with one id and other texts are told apart by the text, other columns are carried along, an empty table gives an
+empty one, and texts of any length are read whole: a long one makes one task longer, it is never cut or skipped.
 """
 
 from __future__ import annotations
@@ -17,19 +20,19 @@ LEAST_SHARE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a known main language. Null texts, texts without a letter and mixes whose largest share is under LEAST_SHARE go."""
+    """Documents of a known main language. Null texts, texts without a letter and mixes whose largest share is under LEAST_SHARE go; repeated rows stay as often as they stand."""
     own = tuple(docs.columns)
     found = langid.identify(docs.select(*(F.col(c).alias(f"d_{c}") for c in own)), langid.fit(docs), "d_doc_id", "d_text", keep=tuple(f"d_{c}" for c in own))
     return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(*(F.col(f"d_{c}").alias(c) for c in own))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies: the one of least id."""
+    """One document of each class of near copies: the one of least id; of repeated rows one. Texts without a word are a class with equal texts only."""
     return neardup.deduplicated(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of a benchmark item."""
+    """Documents without a window of a benchmark item. Null texts have no words, so they stay; a proximity match alone is no reason to go."""
     found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("n_hit > 0")
     bad = found.select(F.col("id").alias("__id"), "fp").distinct()
     rows = docs.withColumn("__fp", F.xxhash64("text"))
@@ -37,12 +40,12 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, once or twice."""
+    """Each document as often as the mix takes it: not at all, once or twice. Texts without words are kept once; of equal rows any may be the one taken."""
     return mixing.mixed(docs)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their shard and slot."""
+    """All documents with their shard and slot, which replace columns of these names."""
     return sharding.sharded(docs)
 
 

@@ -127,3 +127,52 @@ def projections(points: DataFrame, yc: int, xc: int) -> DataFrame:
     p = points.withColumns({"ry": F.col("y") - yc, "rx": F.col("x") - xc}).withColumn("r2", F.expr("ry * ry + rx * rx")).filter("r2 > 0")
     p = p.withColumn("dot", F.expr("cast(rx * gx + ry * gy as bigint)")).filter(F.expr("4 * dot * dot > 3 * cast(r2 as bigint) * (gx * gx + gy * gy)"))
     return p.groupBy("img_id", F.when(F.col("rx") < 0, "left").otherwise("right").alias("side"), F.floor(F.sqrt(F.col("r2").cast("double"))).cast("int").alias("r")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# Side projections: gradient, its least horizontal part and square, and the least squared cosine to the radius as a fraction.
+SIDES = {"plain": ("sobel", 6, 128, (1, 2)), "fine": ("sobel", 4, 72, (1, 2)), "smooth": ("central", 2, 144, (3, 4))}
+# Half width of the sums over radii, and the share of a circle, in 10000/157, that has to be seen.
+SIDE_BLUR, SIDE_SEEN = 4, 20
+
+
+def side_projections(df: DataFrame, yc: int, xc: int, first: int, last: int, kind: str = "plain") -> DataFrame:
+    """(img_id, side, r, n): pixels left and right of a centre whose gradient points outwards along the radius, in 1024ths of all pixels there, by distance rounded down.
+
+    Pixels lie in the quarter of their side, at `first` from the centre or beyond, up to `last`; radii below `first` take the value there. Values are summed over
+    2 SIDE_BLUR + 1 radii, and radii of which little is seen are 0. A column m, if df has one, leaves out pixels where it isn't 0.
+    """
+    source, least_x, least, (over, under) = SIDES[kind]
+    masked = "m" in df.columns
+    if source == "sobel":
+        g = stencil(stencil(df, SOBEL_X, "gx"), SOBEL_Y, "gy")
+    else:
+        s = smoothed(df.select("img_id", "y", "x", "v"), 2.0)
+        g = s.withColumns({"gx": at("v", 1, along()) - at("v", -1, along()), "gy": at("v", 1, down()) - at("v", -1, down())}).withColumn("gx", F.expr("cast(6 * gx div 5 as int)"))
+        g = g.join(df.select("img_id", "y", "x", "m"), ["img_id", "y", "x"]) if masked else g
+    g = g.withColumn("in", inner(1, 1)).filter("in").withColumns({"i": F.col("y") - yc, "j": F.col("x") - xc})
+    root = lambda c: F.floor(F.sqrt(c.cast("double")))
+    i, j = F.col("i"), F.col("j")
+    near = F.when(F.abs(i) < first, F.greatest(F.abs(i), root(first * first - i * i))).otherwise(F.abs(i))
+    ring = g.filter((F.abs(i) <= last) & (F.abs(j) >= near) & (F.abs(j) <= root(last * last - i * i)))
+    if masked:
+        ring = ring.filter("m = 0")
+    # The centre's own pixel, if it is in the ring, is of both sides.
+    ring = ring.withColumn("side", F.explode(F.array_compact(F.array(F.when(j <= 0, F.lit("left")), F.when(j >= 0, F.lit("right"))))))
+    dot, square, far = (F.col("gx") * j + F.col("gy") * i).cast("long"), (F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")).cast("long"), (i * i + j * j).cast("long")
+    outward = F.when(F.col("side") == "left", F.col("gx") < -least_x).otherwise(F.col("gx") > least_x)
+    hit = outward & (square > least) & (dot > 0) & (dot * under * dot > far * square * over)
+    counts = ring.groupBy("img_id", "side", root(far).cast("int").alias("r")).agg(F.count(F.lit(1)).alias("all"), F.sum(hit.cast("int")).alias("hits"))
+    radii = df.select("img_id").distinct().withColumn("side", F.explode(F.array(F.lit("left"), F.lit("right")))).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(last))))
+    own = radii.join(counts, ["img_id", "side", "r"], "left").fillna(0, ["all", "hits"])
+    line = Window.partitionBy("img_id", "side")
+    start = lambda c: F.when(F.col("r") < first, F.max(F.when(F.col("r") == first, F.col(c))).over(line)).otherwise(F.col(c))
+    own = own.withColumns({"all": start("all"), "hits": start("hits")}).withColumn("n", F.expr("case when all > 0 then 1024 * hits div all else 0 end"))
+    by_r = line.orderBy("r")
+
+    def summed(c: str) -> Column:
+        ends = F.max(F.when(F.col("r") == 0, F.col(c))).over(line), F.max(F.when(F.col("r") == last, F.col(c))).over(line)
+        return F.sum(c).over(by_r.rowsBetween(-SIDE_BLUR, SIDE_BLUR)) + F.greatest(F.lit(0), SIDE_BLUR - F.col("r")) * ends[0] + F.greatest(F.lit(0), F.col("r") + SIDE_BLUR - last) * ends[1]
+
+    sums = own.withColumns({"seen": summed("all"), "s": summed("n")})
+    shown = sums.withColumn("s", F.when((F.col("r") > 0) & (F.expr(f"10000 * seen div ({157 * (2 * SIDE_BLUR + 1)} * greatest(1, r))") < SIDE_SEEN), 0).otherwise(F.col("s")))
+    return shown.select("img_id", "side", "r", F.when(F.col("r") == 0, F.lead("s").over(by_r)).otherwise(F.col("s")).cast("long").alias("n"))

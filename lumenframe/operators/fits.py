@@ -52,19 +52,18 @@ def algebraic(m: dict[str, float]) -> tuple[float, ...] | None:
 
 
 def constrained(m: dict[str, float]) -> tuple[float, ...] | None:
-    """Least squares under 4 A C - B^2 = 1, which holds for ellipses only: the one positive value of S a = l K a."""
+    """Least squares under 4 A C - B^2 = 1, which holds for ellipses only; the linear terms are eliminated first, so points that lie on the curve are no harm."""
     s = design(m)
-    k = np.zeros((6, 6))
-    k[0, 2] = k[2, 0] = 2.0
-    k[1, 1] = -1.0
-    if np.linalg.matrix_rank(s) < 6:
+    if np.linalg.matrix_rank(s[3:, 3:]) < 3:
         return None
-    values, vectors = np.linalg.eig(np.linalg.solve(s, k))
-    good = [i for i in range(6) if abs(values[i].imag) < 1e-9 and values[i].real > 1e-12]
-    if len(good) != 1 or abs(vectors[5, good[0]]) == 0:
+    linear = -np.linalg.solve(s[3:, 3:], s[3:, :3])
+    k = np.array([[0.0, 0.0, 2.0], [0.0, -1.0, 0.0], [2.0, 0.0, 0.0]])
+    vectors = np.linalg.eig(np.linalg.solve(k, s[:3, :3] + s[:3, 3:] @ linear))[1]
+    good = [v.real for v in vectors.T if np.abs(v.imag).max() < 1e-9 and 4 * v[0].real * v[2].real - v[1].real ** 2 > 1e-9]
+    if len(good) != 1:
         return None
-    a = vectors[:, good[0]].real
-    return from_conic(-a[:5] / a[5])
+    a = np.concatenate([good[0], linear @ good[0]])
+    return from_conic(-a[:5] / a[5]) if a[5] else None
 
 
 def ellipses(points: DataFrame, key: str = "set_id", fit: Callable = algebraic, scale: float = 100.0) -> DataFrame:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import colour, fits, glints, linear, polar, ranks, regions, segmentation
+from ..operators import colour, edges, fits, glints, linear, polar, ranks, regions, segmentation
 from ..sources.fixtures import view
-from .queries import QUERIES, add, image, near, square
+from .queries import _SMOOTHED, QUERIES, add, image, near, square
 
 # --- colour and scaling
 _STEPS = "o AS (SELECT img_id, i.y, j.x, j.x * {a} + i.y * {b} + {ox} AS gx, j.x * {c} + i.y * {d} + {oy} AS gy, h, w FROM (SELECT DISTINCT img_id FROM g), (SELECT max(y) + 1 AS h, max(x) + 1 AS w FROM g), (SELECT CAST(unnest(range({H})) AS INTEGER) AS y) i, (SELECT CAST(unnest(range({W})) AS INTEGER) AS x) j), q AS (SELECT *, gx >= 0 AND (gx >> 16) + 1 < w AND gy >= 0 AND (gy >> 16) + 1 < h AS ok, greatest(gx, 0) >> 16 AS x0, greatest(gy, 0) >> 16 AS y0, greatest(gx, 0) & 65535 AS px, greatest(gy, 0) & 65535 AS py FROM o), z AS (SELECT *, px >> 8 AS fx, (65536 - px) >> 8 AS ex, py >> 8 AS fy, (65536 - py) >> 8 AS ey FROM q)"
@@ -157,3 +157,16 @@ image("segmentation_levels", lambda g: segmentation.levels(g).select("img_id", *
 add("ellipse_fit", "points", fits.ellipses, None)
 add("ellipse_fit_constrained", "points", lambda p: fits.ellipses(p, fit=fits.constrained), None)
 add("circle_fit_geometric", "points", fits.geometric_circle, None)
+
+# --- side projections
+_SIDE = """, o AS (SELECT img_id, y, x, gx, gy, y - 33 AS i, x - 30 AS j FROM gr {mask}), w AS (SELECT * FROM o WHERE abs(i) <= 24 AND abs(j) <= floor(sqrt(CAST(576 - i * i AS DOUBLE))) AND abs(j) >= CASE WHEN abs(i) < 7 THEN greatest(abs(i), floor(sqrt(CAST(49 - i * i AS DOUBLE)))) ELSE abs(i) END),
+d AS (SELECT *, side, CAST(floor(sqrt(CAST(i * i + j * j AS DOUBLE))) AS INTEGER) AS r, gx * j + gy * i AS s, gx * gx + gy * gy AS g FROM w JOIN (VALUES ('left', -1), ('right', 1)) t(side, sg) ON j * sg >= 0),
+c AS (SELECT img_id, side, r, count(*) AS a, count(*) FILTER ((CASE WHEN side = 'left' THEN -gx ELSE gx END) > {lx} AND g > {lg} AND s > 0 AND CAST(s AS BIGINT) * {under} * s > CAST(i * i + j * j AS BIGINT) * g * {over}) AS h FROM d GROUP BY 1, 2, 3),
+q AS (SELECT m.img_id, z.side, CAST(k.r AS INTEGER) AS r, coalesce(c.a, 0) AS a, coalesce(c.h, 0) AS h FROM (SELECT DISTINCT img_id FROM grid) m CROSS JOIN (VALUES ('left'), ('right')) z(side) CROSS JOIN (SELECT unnest(range(25)) AS r) k LEFT JOIN c ON c.img_id = m.img_id AND c.side = z.side AND c.r = greatest(7, k.r)),
+n AS (SELECT *, CASE WHEN a > 0 THEN 1024 * h // a ELSE 0 END AS n FROM q), b AS (SELECT o.img_id, o.side, o.r, sum(p.a) AS a, sum(p.n) AS n FROM n o CROSS JOIN (SELECT unnest(range(-4, 5)) AS d) JOIN n p ON p.img_id = o.img_id AND p.side = o.side AND p.r = least(24, greatest(0, o.r + d)) GROUP BY 1, 2, 3),
+e AS (SELECT img_id, side, r, CASE WHEN r > 0 AND 10000 * a // (1413 * greatest(1, r)) < 20 THEN 0 ELSE n END AS n FROM b) SELECT x.img_id, x.side, x.r, CAST(y.n AS BIGINT) AS n FROM e x JOIN e y ON y.img_id = x.img_id AND y.side = x.side AND y.r = greatest(1, x.r)"""
+_SOBELS = "WITH grid AS ({t}), k(dy, dx, a, b) AS (VALUES (-1, -1, -1, -1), (-1, 0, 0, -2), (-1, 1, 1, -1), (0, -1, -2, 0), (0, 1, 2, 0), (1, -1, -1, 1), (1, 0, 0, 2), (1, 1, 1, 1)), gr AS (SELECT o.img_id, o.y, o.x, o.v, CAST(sum(a * n.v) AS INTEGER) AS gx, CAST(sum(b * n.v) AS INTEGER) AS gy FROM grid o CROSS JOIN k JOIN grid n ON n.img_id = o.img_id AND n.y = o.y + dy AND n.x = o.x + dx GROUP BY 1, 2, 3, 4 HAVING count(*) = 8)"
+_CENTRAL = _SMOOTHED + ", gr AS (SELECT o.img_id, o.y, o.x, CAST(trunc(CAST(6 * (r.v - l.v) AS DOUBLE) / 5) AS INTEGER) AS gx, b.v - a.v AS gy FROM grid o JOIN grid l ON l.img_id = o.img_id AND l.y = o.y AND l.x = o.x - 1 JOIN grid r ON r.img_id = o.img_id AND r.y = o.y AND r.x = o.x + 1 JOIN grid a ON a.img_id = o.img_id AND a.x = o.x AND a.y = o.y - 1 JOIN grid b ON b.img_id = o.img_id AND b.x = o.x AND b.y = o.y + 1)"
+for _name, _kind, _pre, _lx, _lg, _over, _under in (("side_projection", "plain", _SOBELS, 6, 128, 1, 2), ("side_projection_fine", "fine", _SOBELS, 4, 72, 1, 2), ("side_projection_smooth", "smooth", _CENTRAL, 2, 144, 3, 4)):
+    image(_name, lambda g, k=_kind: edges.side_projections(g, 33, 30, 7, 24, k), _pre + _SIDE.replace("{mask}", "").replace("{lx}", str(_lx)).replace("{lg}", str(_lg)).replace("{over}", str(_over)).replace("{under}", str(_under)), "disc")
+image("side_projection_masked", lambda g: edges.side_projections(g.withColumn("m", F.when(F.col("v") % 4 == 0, 255).otherwise(0)), 33, 30, 7, 24), _SOBELS + _SIDE.replace("{mask}", "WHERE v % 4 <> 0").replace("{lx}", "6").replace("{lg}", "128").replace("{over}", "1").replace("{under}", "2"), "disc")

@@ -10,7 +10,7 @@ from lumenframe.plans import registry
 
 SF = "/root/testdata/sf0.001"
 #: A cross-section; the driver compares all of them.
-NAMES = ["hist_equalize", "hist_quantile", "blur5x5", "box_meandisp", "erode_cross", "median3x3", "expand2_smooth", "canny_edges", "cc_moments", "killblik", "radius_hist", "seq_line_median", "det_curve", "circle_fit", "cov_within", "haar", "single_linkage"]
+NAMES = ["hist_equalize", "hist_quantile", "blur5x5", "box_meandisp", "erode_cross", "median3x3", "expand2_smooth", "canny_edges", "cc_moments", "killblik", "radius_hist", "seq_line_median", "det_curve", "circle_fit", "cov_within", "haar", "single_linkage", "affine_rgb_grey", "scale_bayer_grey", "rubber_sheet", "polar_between", "edge_slopes", "chess_rising", "sobel_21", "dft_2d", "walsh_2d", "side_projection", "disc_erode4", "motion", "sharpness", "matmul_ab", "linear_solve", "fixed_functions", "stretch_roi", "fill_half_ring"]
 
 
 def rows(df):

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenframe.operators import cluster, components, filters, histograms, morphology, sequences, spectral, statistics, transport
+from lumenframe.operators import cluster, components, filters, fits, glints, histograms, linear, morphology, quality, regions, segmentation, sequences, spectral, statistics, transport
 
 
 def image(spark, a, img_id=1):
@@ -83,11 +83,11 @@ def test_transforms(spark):
     e = np.random.default_rng(2).normal(size=8)
     vec = spark.createDataFrame([(1, i, float(v)) for i, v in enumerate(e)], "vec_id long, i int, e double")
     f = np.fft.fft(e)
-    for r in spectral.fourier(vec, 8).collect():
+    for r in spectral.fourier(vec, ["i"]).withColumnRenamed("i", "k").collect():
         assert abs(r["re"] - f[r["k"]].real) < 1e-5 and abs(r["im"] - f[r["k"]].imag) < 1e-5
-    w = np.array([r["e"] for r in spectral.walsh(vec, 8).orderBy("k").collect()])
+    w = np.array([r["e"] for r in spectral.walsh(vec, ["i"]).orderBy("i").collect()])
     assert abs((w**2).sum() - 8 * (e**2).sum()) < 1e-4
-    assert abs(spectral.haar(vec, 3).filter("k = 0").first()["e"] - e.sum()) < 1e-5
+    assert abs(spectral.haar(vec, ["i"]).filter("i = 0").first()["e"] - e.sum()) < 1e-5
 
 
 def test_checksums(spark):
@@ -143,3 +143,151 @@ def test_vector_queries_use_all_components(spark):
     away = np.stack([np.sum(((x - c.mean(0)) @ np.linalg.pinv(np.cov(c.T, bias=True), rcond=1e-10, hermitian=True)) * (x - c.mean(0)), axis=1) for c in classes.values()], 1)
     got = registry.QUERIES["ndc_classify"](spark, sf).toPandas().sort_values("vec_id")
     assert len(got) == len(x) and np.allclose(got["dist"], away.min(1), rtol=1e-5) and (got["best"].to_numpy() == np.array(list(classes))[away.argmin(1)]).all()
+
+
+def test_several_axes(spark):
+    a = np.random.default_rng(5).normal(size=(4, 8))
+    df = spark.createDataFrame([(1, y, x, float(a[y, x])) for y in range(4) for x in range(8)], "vec_id long, y int, x int, e double")
+    f = np.fft.fft2(a)
+    got = {(r["y"], r["x"]): r for r in spectral.fourier(df, ["y", "x"]).collect()}
+    assert all(abs(got[y, x]["re"] - f[y, x].real) < 1e-5 and abs(got[y, x]["im"] - f[y, x].imag) < 1e-5 for y in range(4) for x in range(8))
+    back = {(r["y"], r["x"]): r["re"] for r in spectral.fourier(spectral.fourier(df, ["y", "x"]), ["y", "x"], "re", "vec_id", "im", True).collect()}
+    assert all(abs(back[y, x] - a[y, x]) < 1e-4 for y in range(4) for x in range(8))
+    w = {(r["y"], r["x"]): r["e"] for r in spectral.walsh(df, ["y", "x"]).collect()}
+    assert abs(w[0, 0] - a.sum()) < 1e-5 and abs(sum(v * v for v in w.values()) - 32 * (a**2).sum()) < 1e-3
+
+
+def test_noise_is_the_best_decay(spark):
+    random = np.random.default_rng(6)
+    calm, loud = np.full((32, 32), 100), np.clip(100 + random.normal(0, 12, (32, 32)), 0, 255).astype(int)
+    df = image(spark, calm, 1).unionByName(image(spark, loud, 2))
+    got = {r["img_id"]: r["noise"] for r in quality.noise(df).collect()}
+    hist = np.bincount(random.geometric(0.3, 5000) - 1, minlength=256)[:256]
+    place, value = quality.minimum(quality.decay_error(hist), 0.0, 1.0, 10.0, 1e-6)
+    grid = np.linspace(0.01, 3, 3000)
+    assert abs(place - grid[np.argmin([quality.decay_error(hist)(x) for x in grid])]) < 2e-3 and value <= min(quality.decay_error(hist)(x) for x in grid) + 1e-6
+    assert got[1] > got[2]
+
+
+def test_masked_sharpness(spark):
+    random = np.random.default_rng(9)
+    a = random.integers(0, 256, (128, 128))
+    flat = np.full((128, 128), 90)
+    mask = lambda df: df.withColumn("m", F.when(F.col("x") < 96, 255).otherwise(0))
+    got = {r["img_id"]: r["sharpness"] for r in quality.masked_sharpness(mask(image(spark, a, 1).unionByName(image(spark, flat, 2)))).collect()}
+    small, e = a, []
+    for k in range(3):
+        half = (small[0::2, 0::2] + small[0::2, 1::2] + small[1::2, 0::2] + small[1::2, 1::2] + 2) // 4
+        p = np.pad(half, 1, mode="edge")
+        n, d = half.shape[0], np.zeros(small.shape, int)
+        for dy, dx in ((0, 0), (0, 1), (1, 0), (1, 1)):
+            sy, sx = 2 * dy - 1, 2 * dx - 1
+            up = (5 * half + p[1 : n + 1, 1 + sx : n + 1 + sx] + p[1 + sy : n + 1 + sy, 1 : n + 1] + p[1 + sy : n + 1 + sy, 1 + sx : n + 1 + sx] + 4) // 8
+            d[dy::2, dx::2] = up - small[dy::2, dx::2]
+        inside = d[:, : 96 >> k]
+        e.append(int(int(math.sqrt((inside**2).sum() / inside.size) * 256) / 2 ** (k / 2)))
+        small = half
+    assert got[2] is None and got[1] == e[1] + e[2] - (e[1] + e[2])
+
+
+def test_linear_algebra(spark):
+    random = np.random.default_rng(4)
+    a, b, x = random.normal(size=(5, 5)), random.normal(size=(5, 5)), random.normal(size=(5, 2))
+    sym, pos = a + a.T, b @ b.T + np.eye(5)
+    frame = lambda m: spark.createDataFrame([(7, i, j, float(m[i, j])) for i in range(m.shape[0]) for j in range(m.shape[1])], "mat_id long, i int, j int, a double")
+    got = np.zeros((5, 2))
+    for r in linear.solved(frame(a), frame(a @ x)).collect():
+        got[r["i"], r["j"]] = r["a"]
+    assert np.allclose(got, x)
+    assert linear.solved(frame(np.ones((3, 3))), frame(np.ones((3, 1)))).count() == 0
+    pairs = linear.eigen_symmetric(frame(sym), frame(pos)).collect()
+    values = [next(r["value"] for r in pairs if r["part"] == p) for p in range(5)]
+    v = np.array([[next(r["x"] for r in pairs if r["part"] == p and r["i"] == i) for p in range(5)] for i in range(5)])
+    assert values == sorted(values) and np.allclose(sym @ v, pos @ v * values) and np.allclose(v.T @ pos @ v, np.eye(5))
+    want = np.linalg.eigvals(np.linalg.solve(b, a))
+    found = [complex(r["re"], r["im"]) for r in linear.eigen_general(frame(a), frame(b)).collect()]
+    assert len(found) == 5 and all(min(abs(w - f) for f in found) < 1e-4 for w in want)
+    square = linear.eigen_errors(frame(sym @ sym.T), linear.eigen_symmetric(frame(sym @ sym.T), frame(np.eye(5)))).first()["error"]
+    assert square < 1e-4
+
+
+def test_discriminants_part_the_classes(spark):
+    random = np.random.default_rng(8)
+    centres = random.normal(size=(3, 4)) * 5
+    x = np.concatenate([c + random.normal(size=(30, 4)) @ np.diag([1, 4, 0.5, 1]) for c in centres])
+    label = np.repeat(range(3), 30)
+    vec = spark.createDataFrame([(k, int(label[k]), i, float(x[k, i])) for k in range(90) for i in range(4)], "vec_id long, label int, i int, e double")
+    got = linear.discriminants(vec, 4, 2).collect()
+    cov = lambda y: len(y) * y.T @ y - np.outer(y.sum(0), y.sum(0))
+    inner = sum(cov(x[label == k]) for k in range(3))
+    values = np.sort(np.linalg.eigvals(np.linalg.solve(inner, cov(x) - inner)).real)[::-1]
+    assert np.allclose([next(r["value"] for r in got if r["part"] == p) for p in range(2)], values[:2], rtol=1e-4)
+    with pytest.raises(ValueError):
+        linear.discriminants(vec.filter("label = 0"), 4, 2)
+
+
+def test_glints_are_filled(spark):
+    random = np.random.default_rng(11)
+    plain = (60 + 20 * np.sin(np.arange(96)[:, None] / 15) + 10 * np.cos(np.arange(128) / 20) + random.integers(0, 3, (96, 128))).astype(int)
+    spot = plain.copy()
+    spot[40:46, 60:67] = 250
+    mask, clean = glints.mask_of(spot), glints.removed(spot)
+    assert mask[41:45, 62:66].all() and mask.sum() / 255 < 600
+    assert np.abs(clean - plain)[40:46, 60:67].max() < 25 and (clean == spot)[:30].all()
+    got = array(glints.without_glints(image(spark, spot)), spot.shape)
+    assert (got == clean).all()
+    given = image(spark, spot).withColumn("m", F.when((F.col("y").between(40, 45)) & (F.col("x").between(60, 67)), 255).otherwise(0))
+    assert array(glints.filled(given), spot.shape)[42, 63] < 120
+
+
+def test_circles_of_a_drawn_eye(spark):
+    y, x = np.mgrid[0:150, 0:180]
+    eye = np.full((150, 180), 190.0)
+    eye[(x - 90) ** 2 + (y - 75) ** 2 <= 60**2] = 110
+    eye[(x - 92) ** 2 + (y - 76) ** 2 <= 32**2] = 30
+    eye = (eye + np.random.default_rng(2).integers(0, 4, eye.shape)).astype(int)
+    r = segmentation.segmented(image(spark, eye)).first()
+    assert abs(r["pr"] - 32) <= 4 and abs(r["ir"] - 60) <= 5 and abs(r["ix"] - 90) <= 4 and abs(r["iy"] - 75) <= 4, r
+    found = segmentation.segmented(image(spark, eye))
+    marked = spark.createDataFrame([(1, 92, 76, 32, 90, 75, 60)], "img_id int, px int, py int, pr int, ix int, iy int, ir int")
+    assert segmentation.scored(found, marked).first()["total"] < 0.5
+    circles = spark.createDataFrame([(1, 90, 75, 32)], "img_id int, ix int, iy int, pr int")
+    ring = array(segmentation.iris_gradient(image(spark, 255 - eye), circles), eye.shape)  # gradients that point outwards, from a bright disc
+    far = np.sqrt((x - 90.0) ** 2 + (y - 75.0) ** 2)
+    assert ring.max() > 0 and (ring[far < 42] == 0).all()
+
+
+def test_contour_masks(spark):
+    radii = spark.createDataFrame([(1, i, 10) for i in range(36)], "set_id int, i int, r int")
+    inside = {(r["y"], r["x"]) for r in regions.contour_mask(radii, 20, 22, 40, 45).collect()}
+    y, x = np.mgrid[0:40, 0:45]
+    far = np.sqrt((x - 22.0) ** 2 + (y - 20.0) ** 2)
+    assert all(((j, i) in inside) for j, i in zip(*np.nonzero(far < 8.5), strict=True)) and not any(far[j, i] > 11.5 for j, i in inside)
+    hole = spark.createDataFrame([(1, i, 4) for i in range(36)], "set_id int, i int, r int")
+    ring = {(r["y"], r["x"]) for r in regions.ring_mask(radii, hole, (20, 22), (20, 22), 40, 45).collect()}
+    assert ring < inside and (20, 22) not in ring and (20, 30) in ring
+
+
+def test_ellipses_through_points(spark):
+    random = np.random.default_rng(3)
+    rows = []
+    for k, (xc, yc, a, b, tilt) in enumerate(((200, 150, 60, 35, 0.4), (320, 90, 25, 70, -0.2), (100, 300, 40, 39, 0.0))):
+        t = random.uniform(0, 2 * np.pi, 200)
+        rows += [(k, float(xc + a * np.cos(u) * np.cos(tilt) - b * np.sin(u) * np.sin(tilt)), float(yc + a * np.cos(u) * np.sin(tilt) + b * np.sin(u) * np.cos(tilt))) for u in t]
+    rows += [(9, float(i), 2.0 * i) for i in range(30)] + [(8, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "set_id int, x double, y double")
+    for fit in (fits.algebraic, fits.constrained):
+        got = {r["set_id"]: r for r in fits.ellipses(df, fit=fit).collect()}
+        assert set(got) == {0, 1, 2}
+        for k, (xc, yc, a, b) in enumerate(((200, 150, 60, 35), (320, 90, 25, 70), (100, 300, 40, 39))):
+            r = got[k]
+            assert abs(r["xc"] - xc) < 0.1 and abs(r["yc"] - yc) < 0.1 and sorted((round(r["a"]), round(r["b"]))) == sorted((a, b)) and r["off"] < 0.01
+    circles = {r["set_id"]: r for r in fits.geometric_circle(df.filter("set_id = 2")).collect()}
+    assert abs(circles[2]["r"] - 39.5) < 0.3 and circles[2]["settled"]
+
+
+def test_least_squares_settles():
+    x = np.linspace(0, 4, 60)
+    y = 3 * np.exp(-1.3 * x) + 0.5
+    p, total, settled = fits.least_squares(lambda q: q[0] * np.exp(-q[1] * x) + q[2] - y, np.array([1.0, 0.2, 0.0]))
+    assert settled and total < 1e-10 and np.allclose(p, [3, 1.3, 0.5], atol=1e-4)
