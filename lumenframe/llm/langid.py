@@ -50,7 +50,9 @@ def trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, folds: int = FOLDS, held: int = HELD) -> tuple[list[str], np.ndarray]:
     """(languages, log probabilities by bucket and language) from documents outside the held-out fold whose language is known.
 
-    At most about per_language documents of each language are read, picked by a hash of the id; counts are added up by (language, bucket).
+    At most about per_language documents of each language are read, picked by a hash of the id; counts are added up by (language, bucket). A null text counts
+    nothing, a long one as a whole, repeated rows as often as they stand. Without a known language, as in an empty table, there are none and no numbers. What
+    reaches the driver is a number for each language and bucket, so languages are taken to be few.
     """
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col), folds, held))
     counts = sorted((r[0], r[1]) for r in known.groupBy(lang_col).count().collect())

@@ -128,7 +128,10 @@ def op3(docs: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
-    """docs with each row as often as the mix takes it, its columns unchanged."""
+    """docs with each row as often as the mix takes it, its columns unchanged.
+
+    Null ids and texts are rows like others; equal rows are told apart by number and may trade copies; an empty table gives an empty one; long texts are read whole.
+    """
     shares = mix(docs, id_col, text_col, **more).select(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp"), F.col("copies").alias("__copies"))
     # Equal rows are told apart by number, so that each gets copies of its own.
     number = Window.partitionBy("__id", "__fp")
