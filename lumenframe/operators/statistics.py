@@ -9,24 +9,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import held
+
 
 def error_curve(scores: DataFrame) -> DataFrame:
     """(k, threshold, frr, far): corners of the error trade-off, larger scores being likelier the same, impostors first among equals.
 
-    Running counts over one global order come in two steps: counts by score first, which is the part that grows, then a window over distinct
-    scores, so equal scores cost nothing more and only distinct ones meet in one task.
+    Running counts over one global order without one task for it: counts by score first, then ranges of scores, whose sums (a row a range) give each range its
+    start; within a range the scores are counted on apart.
     """
     by_score = scores.groupBy("score").agg(F.count_if(F.col("is_same") == 0).alias("aliens"), F.count_if(F.col("is_same") != 0).alias("sames"))
-    order = Window.orderBy(F.desc("score"))
+    parts = held(by_score.repartitionByRange("score").withColumn("part", F.spark_partition_id()), "det-ranges")
+    kind = F.when(F.col("sames") > 0, 1).otherwise(0)
+    ends = parts.groupBy("part").agg(F.max("score").alias("top"), F.sum("aliens").alias("a"), F.sum("sames").alias("s"), F.min(F.struct("score", kind.alias("kind"))).alias("low"))
+    ranges = Window.orderBy(F.desc("top"))
+    earlier = ranges.rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumns({"at": F.sum("a").over(Window.partitionBy()), "st": F.sum("s").over(Window.partitionBy()), "pa": F.coalesce(F.sum("a").over(earlier), F.lit(0)), "ps": F.coalesce(F.sum("s").over(earlier), F.lit(0)), "above": F.lag("low").over(ranges)})
+    # A row a range, so as many as there are partitions.
+    c = parts.join(F.broadcast(ends.select("part", "at", "st", "pa", "ps", "above")), "part")
+    order = Window.partitionBy("part").orderBy(F.desc("score"))
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    total = Window.partitionBy()
-    c = by_score.withColumns({"a0": F.coalesce(F.sum("aliens").over(before), F.lit(0)), "s0": F.coalesce(F.sum("sames").over(before), F.lit(0)), "at": F.sum("aliens").over(total), "st": F.sum("sames").over(total)})
+    c = c.withColumns({"a0": F.coalesce(F.sum("aliens").over(before), F.lit(0)) + F.col("pa"), "s0": F.coalesce(F.sum("sames").over(before), F.lit(0)) + F.col("ps")})
     # A corner stands between two items of different kind. Items of one score run aliens first; a corner before an item has the counts up to it.
-    prev_kind = F.lag(F.when(F.col("sames") > 0, 1).otherwise(0)).over(order)
-    prev_score = F.lag("score").over(order)
-    first_kind = F.when(F.col("aliens") > 0, 0).otherwise(1)
-    c = c.withColumns({"pk": prev_kind, "ps": prev_score, "fk": first_kind})
-    outer = c.filter("pk is not null and pk <> fk").select("s0", "a0", "st", "at", F.col("ps").alias("threshold"))
+    c = c.withColumns({"pk": F.coalesce(F.lag(kind).over(order), F.col("above.kind")), "pscore": F.coalesce(F.lag("score").over(order), F.col("above.score")), "fk": F.when(F.col("aliens") > 0, 0).otherwise(1)})
+    outer = c.filter("pk is not null and pk <> fk").select("s0", "a0", "st", "at", F.col("pscore").alias("threshold"))
     inside = c.filter("aliens > 0 and sames > 0").select("s0", (F.col("a0") + F.col("aliens")).alias("a0"), "st", "at", F.col("score").alias("threshold"))
     corners = outer.unionByName(inside).filter("st > 0 and at > 0")
     return corners.select((F.col("s0") + F.col("a0")).cast("long").alias("k"), "threshold", F.round((F.col("st") - F.col("s0")) / F.col("st"), 9).alias("frr"), F.round(F.col("a0") / F.col("at"), 9).alias("far"))
