@@ -266,7 +266,8 @@ class Labeller:
         out: list[np.ndarray] = [np.zeros(0, np.float32)] * len(pages)
         order = sorted((i for i in range(len(pages)) if len(pages[i])), key=lambda i: len(pages[i]))
         while order and len(pages[order[-1]]) > PIECE:
-            out[order[-1]] = self.long(pages[order.pop()])
+            i = order.pop()
+            out[i] = self.long(pages[i])
         while order:
             take = max(1, min(len(order), cells // len(pages[order[min(len(order), 256) - 1]])))
             own, order = order[:take], order[take:]
