@@ -8,8 +8,8 @@ banded; texts that share a band are candidates; a link is a candidate pair whose
 threshold. Classes are the connected components.
 
 A band's members are not paired with each other. Each is compared with three of them, and where that leaves several components, with the
-member that has least of its own; then members of different components are compared if their weights, and what each has alone, leave room for
-a link. A group of near copies costs about its size, and no pair that shares a band and could join two components is left out.
+member that differs least from what the band has in common, the centre. What then stays apart is searched by prefixes of edits: see across(). A group of near copies costs
+about its size, and no pair that shares a band and could join two components is left out.
 """
 
 from __future__ import annotations
@@ -30,8 +30,10 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 10, 3
 #: Bytes of text of a block, about.
 BLOCK = 8 << 20
-#: Pairs of whose samples less than this share agree aren't compared further; at similarity 0.8 that happens once in 10^7 pairs.
-GLANCE = 0.4
+#: Bytes up to which a list of nodes is broadcast.
+LISTED_BYTES = 8 << 20
+#: Members of a group from which its centre is sought, about; groups of fewer take the first choice.
+SURVEYED = 24
 
 
 def _gamma_tables() -> tuple[np.ndarray, np.ndarray]:
@@ -182,19 +184,28 @@ def sampled(rows: DataFrame, told: DataFrame, bands: int, size: int) -> DataFram
     return rows.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, "node long, sig array<int>, block int, part int, keys binary, idf binary")
 
 
-def vectors(rows: DataFrame, told: DataFrame) -> DataFrame:
-    """(node, vec): shingles (their upper 32 bits, ascending) and weights of each text of rows (block, node, text), as bytes."""
+def vectors(rows: DataFrame, told: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(node, vec): shingles (their upper 32 bits, ascending) and weights of the texts of rows (block, node, text) that are chosen, as bytes.
 
-    def run(key, block, own):
-        idf, nodes, vec = told_idf(own), block["node"], []
-        for _, _, data, offsets in tb.pieces(*tb.strings(block["text"])):
-            doc, shingle, weight = shingles(data, offsets, idf)
-            short = (shingle >> np.uint64(32)).astype(np.uint32)
-            cuts = np.searchsorted(doc, np.arange(len(offsets)))
-            vec += [short[a:z].tobytes() + weight[a:z].tobytes() for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
-        return pa.table({"node": nodes.cast(pa.int64()), "vec": pa.array(vec, pa.binary())})
+    chosen has one (node, block) a text; blocks get the list of their own with their words' idf, so texts that aren't chosen go no further.
+    """
+    asked = told.withColumn("node", F.lit(None).cast("long")).unionByName(chosen.select("block", "node"), allowMissingColumns=True)
 
-    return rows.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, "node long, vec binary")
+    def run(key, block, own):
+        wanted = own.filter(pa.compute.is_valid(own["node"]))["node"].to_numpy()
+        nodes, first = np.unique(block["node"].to_numpy(), return_index=True)
+        block = block.take(pa.array(first[np.isin(nodes, wanted)]))
+        vec = []
+        if block.num_rows:
+            idf = told_idf(own.filter(pa.compute.is_valid(own["keys"])))
+            for _, _, data, offsets in tb.pieces(*tb.strings(block["text"])):
+                doc, shingle, weight = shingles(data, offsets, idf)
+                short = (shingle >> np.uint64(32)).astype(np.uint32)
+                cuts = np.searchsorted(doc, np.arange(len(offsets)))
+                vec += [short[a:z].tobytes() + weight[a:z].tobytes() for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
+        return pa.table({"node": block["node"].cast(pa.int64()), "vec": pa.array(vec, pa.binary())})
+
+    return rows.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(run, "node long, vec binary")
 
 
 def weighted_jaccard(a: bytes, b: bytes) -> float:
@@ -209,17 +220,26 @@ def weighted_jaccard(a: bytes, b: bytes) -> float:
     return float(both / total) if total > 0 else 0.0
 
 
+def beside(pairs: DataFrame, vecs: DataFrame) -> DataFrame:
+    """pairs (a, b, ...) with va and vb, the vectors of both; a should be the side of fewer different nodes.
+
+    Vectors are dealt by node once, for b, and of these the ones that stand as a go on. A node of many pairs meets them in a join that may be split by skew:
+    its sides are plain shuffles.
+    """
+    right = vecs.select(F.col("node").alias("b"), F.col("vec").alias("vb"))
+    left = vecs.select(F.col("node").alias("a"), F.col("vec").alias("va")).join(pairs.select("a").distinct(), "a", "left_semi")
+    return pairs.join(right, "b").join(left, "a")
+
+
 def verified(pairs: DataFrame, vecs: DataFrame, threshold: float) -> DataFrame:
     """(a, b) of those pairs whose similarity reaches the threshold."""
-    left = vecs.select(F.col("node").alias("a"), F.col("vec").alias("va"))
-    right = vecs.select(F.col("node").alias("b"), F.col("vec").alias("vb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = [weighted_jaccard(x.as_buffer(), y.as_buffer()) >= threshold for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays(batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_())).columns, names=["a", "b"])
 
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "va", "vb").mapInArrow(run, "a long, b long")
+    return beside(pairs, vecs).select("a", "b", "va", "vb").mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -250,8 +270,11 @@ def candidates(sigs: DataFrame, bands: int, rows: int) -> DataFrame:
     """(key, node, n): members of the bands that two or more texts share, with the band's size."""
     key = lambda i: F.xxhash64(F.lit(i), *(F.get("sig", F.lit(i * rows + j)) for j in range(rows)))
     members = sigs.select("node", F.explode(F.array(*(key(i) for i in range(bands)))).alias("key"))
-    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return members.join(shared, "key")
+    # Sums are written before they are joined to what they were taken from: a join of two plain shuffles can split a hot key.
+    shared = written(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "dup-shared")
+    found = written(members.join(shared, "key"), "dup-members")
+    dropped(shared)
+    return found
 
 
 def starred(members: DataFrame) -> DataFrame:
@@ -261,8 +284,23 @@ def starred(members: DataFrame) -> DataFrame:
     """
     degree = members.groupBy("node").agg(F.sum("n").alias("deg"))
     ends = members.join(degree, "node").groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.max(F.struct("deg", "node"))["node"].alias("mid"))
+    ends = written(ends, "dup-ends")
     star = members.join(ends, "key").select("node", F.explode(F.array_distinct(F.array("low", "high", "mid"))).alias("to"))
-    return star.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).filter("a < b").distinct()
+    pairs = written(oriented(star), "dup-star")
+    dropped(ends)
+    return pairs
+
+
+def oriented(star: DataFrame) -> DataFrame:
+    """(a, b) for rows (node, to) of two different nodes: to and node, each pair once, whichever of the two is the centre."""
+    once = star.filter("node <> to").groupBy(F.least("node", "to").alias("x"), F.greatest("node", "to").alias("y")).agg(F.min("to").alias("a"))
+    return once.select("a", F.when(F.col("a") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("b"))
+
+
+def within(df: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of df whose node is one of nodes; a list of some megabytes is broadcast, a longer one is met in a shuffle."""
+    own = nodes.select("node").distinct()
+    return df.join(F.broadcast(own) if own.count() * 16 <= LISTED_BYTES else own, "node", "left_semi")
 
 
 def masses(vecs: DataFrame) -> DataFrame:
@@ -281,56 +319,136 @@ def masses(vecs: DataFrame) -> DataFrame:
 
 
 def split_bands(members: DataFrame, comps: DataFrame) -> DataFrame:
-    """(key, node, comp, main): members of the bands that still hold several components; main is the band's largest component."""
+    """(key, node, comp): members of the bands that still hold several components."""
     known = members.filter("n > 2").join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-    counts = known.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-    split = counts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "comp"))["comp"].alias("main")).filter("parts > 1")
-    return written(known.join(split.select("key", "main"), "key"), "dup-open")
+    split = written(known.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("key"), "dup-split")
+    found = written(known.join(split, "key"), "dup-open")
+    dropped(split)
+    return found
 
 
 def plainest(open_: DataFrame, mass: DataFrame) -> DataFrame:
-    """(a, b): the member of each split band that has the least share of weight alone, with the members of other components.
-
-    What a copy has alone is what was changed in it, so this is the member nearest to what the group was copied from.
-    """
+    """(key, to): of each split band the member that has the least share of weight alone. What a copy has alone is what was changed in it."""
     rated = open_.join(mass, "node").filter("t > 0").withColumn("alone", F.col("u") / F.col("t"))
-    centre = rated.groupBy("key").agg(F.min(F.struct("alone", "node", "comp")).alias("c")).select("key", F.col("c.node").alias("to"), F.col("c.comp").alias("own"))
-    pairs = rated.select("key", "node", "comp").join(centre, "key").filter("comp <> own")
-    return pairs.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct()
+    return rated.groupBy("key").agg(F.min(F.struct("alone", "node"))["node"].alias("to"))
+
+
+def common(vecs: list[bytes]) -> bytes:
+    """The vector of the shingles that at least half of these have, each with its least weight there."""
+    parts = [(np.frombuffer(v, np.uint32, len(v) // 8), np.frombuffer(v, np.float32, len(v) // 8, len(v) // 2)) for v in vecs]
+    key, of = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    least = np.full(len(key), np.inf, np.float32)
+    np.minimum.at(least, of, np.concatenate([w for _, w in parts]))
+    many = 2 * np.bincount(of, minlength=len(key)) >= len(vecs)
+    return key[many].tobytes() + least[many].tobytes()
 
 
-def across(open_: DataFrame, mass: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): pairs of a band's members of different components that may still reach the threshold s.
+def centred(open_: DataFrame, mass: DataFrame, vecs: DataFrame, threshold: float) -> DataFrame:
+    """(key, to): the centre of each split band, a member near to what its members have in common.
 
-    Two texts of weights t1 <= t2 share at most what neither has alone, so s <= c / (t1 + t2 - c) for c = t1 - u1 and for c = t2 - u2. For either
-    that bounds the other's weight, and pairs are joined by ranges of weight. A copy with many changes of its own thus has no candidates. As
-    one of a pair lies outside the band's largest component, that component isn't joined with itself.
+    Bands of one plainest member are a group. In groups of more than SURVEYED members the centre becomes the member that differs least from what
+    at least half of some SURVEYED of them have. Which member is the centre decides how much work is left, not which links are found.
     """
-    share, step = threshold / (1 + threshold) * (1 - 1e-4), float(np.log(1.06))
-    part = lambda c: F.floor(F.log(c) / step).cast("int")
-    all_ = open_.join(mass, "node").filter("t > 0").withColumn("top", (F.col("t") - F.col("u")) / share - F.col("t"))
-    small = all_.filter("top >= t").select("key", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("t").alias("ta"), F.col("top").alias("ha"), (F.col("comp") != F.col("main")).alias("out_a"), part(F.col("t")).alias("bin"))
-    large = all_.withColumn("low", F.col("t") * threshold * (1 - 1e-4)).withColumn("high", F.least("t", "top")).filter("high >= low")
-    large = large.select("key", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("t").alias("tb"), F.col("high").alias("hb"), (F.col("comp") != F.col("main")).alias("out_b"), F.explode(F.sequence(part(F.col("low")), part(F.col("high")))).alias("bin"))
-    fits = "ca <> cb and ta <= hb and tb <= ha and (ta < tb or a < b)"
-    found = small.filter("out_a").join(large, ["key", "bin"]).filter(fits).select("a", "b").unionByName(small.filter("not out_a").join(large.filter("out_b"), ["key", "bin"]).filter(fits).select("a", "b"))
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    first = written(plainest(open_, mass), "dup-plainest")
+    group = written(open_.join(first, "key").select("to", "node").distinct(), "dup-groups")
+    sizes = written(group.groupBy("to").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SURVEYED), "dup-sizes")
+    large = written(group.join(sizes, "to"), "dup-large")
+    some = large.filter(F.pmod(F.xxhash64("node", F.lit(23)), F.lit(1 << 30)) * F.col("n") < F.lit(SURVEYED << 30)).select("to", "node").join(vecs, "node").select("to", "vec")
 
+    def agree(key, rows):
+        return pa.table({"to": pa.array([key[0].as_py()], pa.int64()), "core": pa.array([common(rows["vec"].to_pylist())], pa.binary())})
 
-def glanced(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
-    """Pairs whose samples agree often enough to be worth a comparison."""
-    left = sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa"))
-    right = sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb"))
-    agree = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
-    return pairs.join(right, "b").join(left, "a").filter(agree >= least * F.size("sa")).select("a", "b")
+    core = written(some.groupBy("to").applyInArrow(agree, "to long, core binary"), "dup-cores")
+
+    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cost = []
+            for c, v in zip(batch.column(2), batch.column(3), strict=True):
+                _, side, w = edits(c.as_py(), v.as_py())
+                cost.append(float(w[side == 0].sum() + threshold * w[side == 1].sum()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(cost, pa.float64())], names=["to", "node", "cost"])
+
+    rated = large.select("to", "node").join(core, "to").join(vecs, "node").select("to", "node", "core", "vec").mapInArrow(apart, "to long, node long, cost double")
+    better = written(rated.groupBy("to").agg(F.min(F.struct("cost", "node"))["node"].alias("new")), "dup-centres")
+    found = written(first.join(better, "to", "left").select("key", F.coalesce("new", "to").alias("to")), "dup-centred")
+    for x in (first, group, sizes, large, core, better):
+        dropped(x)
+    return found
+
+
+def grouped(open_: DataFrame, centres: DataFrame) -> DataFrame:
+    """(to, node, comp): the members of split bands by their centres."""
+    return written(open_.join(centres, "key").select("to", "node", "comp").distinct(), "dup-grouped")
+
+
+def edits(centre: bytes, vec: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shingle, side, weight) of the difference of a text from its centre: side 0 is weight that the text lacks, side 1 weight that it has beyond the centre."""
+    n, m = len(centre) // 8, len(vec) // 8
+    key = np.concatenate([np.frombuffer(centre, np.uint32, n), np.frombuffer(vec, np.uint32, m)])
+    w = np.concatenate([-np.frombuffer(centre, np.float32, n, 4 * n).astype(np.float64), np.frombuffer(vec, np.float32, m, 4 * m)])
+    found, of = np.unique(key, return_inverse=True)
+    change = np.bincount(of, weights=w, minlength=len(found))
+    at = np.flatnonzero(change)
+    return found[at].view(np.int32), (change[at] > 0).astype(np.int8), np.abs(change[at])
+
+
+def changes(group: DataFrame, vecs: DataFrame, threshold: float) -> DataFrame:
+    """(to, node, comp, far, need, sh, side, w): the edits that make each member from its centre; far: its similarity to the centre is below the threshold.
+
+    Let T be the centre's weight, L and U what a member lacks and adds, e = L + s U. If two members x and y share a weight o of their edits, their
+    similarity is (T - Lx - Ly + o) / (T + Ux + Uy - o), so it reaches s only if o >= (ex + ey - (1 - s) T) / (1 + s). A member is far if
+    e > (1 - s) T, so a partner y of a far one shares ey / (1 + s) of its edits with it: need. Where what y has of the centre doesn't make up s of y,
+    it has to share s of y less that, of its additions alone; then only these are searched, and w is 0 for the others.
+    """
+    fields = [("to", pa.int64()), ("node", pa.int64()), ("comp", pa.int64()), ("far", pa.bool_()), ("need", pa.float64()), ("sh", pa.int32()), ("side", pa.int8()), ("w", pa.float64())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            to, node, comp = (batch.column(i).to_pylist() for i in range(3))
+            for i, (c, v) in enumerate(zip(batch.column(3), batch.column(4), strict=True)):
+                c, v = c.as_buffer().to_pybytes(), v.as_buffer().to_pybytes()
+                sh, side, w = edits(c, v)
+                whole, own = (float(np.frombuffer(x, np.float32, len(x) // 8, len(x) // 2).sum(dtype=np.float64)) for x in (c, v))
+                adds = float(w[side == 1].sum())
+                e = float(w[side == 0].sum()) + threshold * adds
+                far, need = e > (1 - threshold) * whole * (1 - 1e-6), e / (1 + threshold)
+                if (alone := threshold * own - (own - adds)) > 1e-6 * own:
+                    need, w = alone, np.where(side == 1, w, 0.0)
+                told = np.full(len(sh), True) if far else w > 0
+                columns = [np.full(told.sum(), x) for x in (to[i], node[i], comp[i], far, need * (1 - 1e-6))] + [x[told] for x in (sh, side, w)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
+
+    joined = beside(group.select(F.col("to").alias("a"), F.col("node").alias("b"), "comp"), vecs)
+    return joined.select("a", "b", "comp", "va", "vb").mapInArrow(run, "to long, node long, comp long, far boolean, need double, sh int, side tinyint, w double")
+
+
+def across(group: DataFrame, vecs: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): pairs of members of one centre, of different components, that may still reach the threshold.
+
+    Two members that are both near the centre are linked by way of it, so one of each pair is far from it. Of the other's edits, the rarest are
+    looked up among the edits of far members: so many that the rest weighs less than what a pair has to share. Copies that were changed apart
+    from each other share next to no rare edits, so a group of near copies costs its size and not its square, and no link is left out.
+    """
+    token = Window.partitionBy("to", "sh", "side")
+    counted = changes(group, vecs, threshold).withColumns({"all": F.count(F.lit(1)).over(token), "n": F.sum(F.col("far").cast("int")).over(token)})
+    # Edits that stand alone, most of them, can't be met; being the rarest, they don't count in the weight of the more frequent ones either.
+    shared = written(counted.filter("all > 1 and n > 0").withColumn("n", F.col("n") - F.col("far").cast("int")).drop("all"), "dup-edits")
+    rest = Window.partitionBy("to", "node").orderBy(F.desc("n"), "sh", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    probes = shared.filter("w > 0 and n > 0").withColumn("rest", F.sum("w").over(rest)).filter("rest >= need")
+    met = shared.filter("far").select("to", "sh", "side", F.col("node").alias("other"), F.col("comp").alias("apart"))
+    found = probes.select("to", "sh", "side", "node", "comp").join(met, ["to", "sh", "side"]).filter("comp <> apart")
+    pairs = written(found.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "dup-across")
+    dropped(shared)
+    return pairs
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, node, comp, class_id) for every row of docs: class_id is the least doc_id of its class.
 
-    comp is the class itself: the least node in it. Where ids are null or repeat, different classes may have one class_id. node is the 64-bit hash of the text: equal texts are one node and so one class; a null text is a node of its own. Texts without a word
-    are linked to equal texts only. A null id is larger than others: a class of null ids alone has a null class_id. An empty table gives an
-    empty result. Only id_col and text_col are read.
+    comp is the class itself: the least node in it. Where ids are null or repeat, different classes may have one class_id. node is the 64-bit hash of
+    the text: equal texts are one node and so one class; a null text is a node of its own. Texts without a word are linked to equal texts only. A null
+    id is larger than others: a class of null ids alone has a null class_id. An empty table gives an empty result. A text of any length is one vector
+    of all its shingles. Only id_col and text_col are read.
     """
     total = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(text_col)).alias("bytes")).first()
     blocks = max(1, -(-(total["bytes"] or 0) // BLOCK))
@@ -340,28 +458,56 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = written(sampled(dealt, word_weights(dealt, blocks, total["n"]), bands, rows), "dup-sampled")
     told = found.filter("node is null").select("block", "part", "keys", "idf")
     sigs = written(found.filter("node is not null").select("node", "sig").dropDuplicates(["node"]), "dup-samples")
-    members = written(candidates(sigs, bands, rows), "dup-members")
+    members = candidates(sigs, bands, rows)
 
+    dropped(sigs)
     pairs = starred(members)
-    first = written(glanced(pairs, sigs, GLANCE), "dup-pairs")
-    vecs = written(vectors(texts.join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]).select("block", "node", "text"), told), "dup-vectors")
+    # One block for each text that shares a band, found without the texts themselves.
+    chosen = written(texts.select("node", "block").distinct().join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("block").alias("block")), "dup-chosen")
+    vecs = written(vectors(dealt, told, chosen), "dup-vectors")
+    dropped(chosen)
     dropped(found)
-    links = written(verified(first, vecs, threshold), "dup-links")
+    links = written(verified(pairs, vecs, threshold), "dup-links")
     comps = components(links)
     open_ = split_bands(members, comps)
     if open_.limit(1).count():
-        mass = written(masses(vecs.join(open_.select("node").distinct(), "node", "left_semi")), "dup-masses")
-        near = written(plainest(open_, mass).join(pairs, ["a", "b"], "left_anti"), "dup-pairs")
-        links = written(links.unionByName(verified(glanced(near, sigs, GLANCE), vecs, threshold)), "dup-links")
-        comps = components(links)
-        rest = across(split_bands(members, comps), mass, threshold).join(pairs.unionByName(near), ["a", "b"], "left_anti")
-        # Nearly all that is left here is alike enough to pass a glance at its samples.
-        more = written(verified(rest, vecs, threshold), "dup-links")
+        # The vectors that are still needed, a part of all.
+        own = written(within(vecs, open_), "dup-vectors")
+        mass = written(masses(own), "dup-masses")
+        centres = centred(open_, mass, own, threshold)
+        group = grouped(open_, centres)
+        seen = pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+        near = oriented(group).withColumns({"x": F.least("a", "b"), "y": F.greatest("a", "b")}).join(seen, ["x", "y"], "left_anti").select("a", "b")
+        more = written(verified(near, own, threshold), "dup-links")
         if more.limit(1).count():
-            comps = components(links.unionByName(more))
-    rows_ = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("node")).join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = rows_.groupBy("comp").agg(F.min("doc_id").alias("class_id"))
-    return rows_.join(least, "comp").select("doc_id", "node", "comp", "class_id")
+            links = links.unionByName(more)
+            for x in (comps, open_, group):
+                dropped(x)
+            comps = components(links)
+            open_ = split_bands(members, comps)
+            group = grouped(open_, centres)
+        rest = across(group, own, threshold)
+        last = written(verified(rest, own, threshold), "dup-links")
+        if last.limit(1).count():
+            dropped(comps)
+            comps = components(links.unionByName(last))
+        for x in (own, mass, centres, group, rest, last, more):
+            dropped(x)
+    for x in (open_, vecs, pairs, members):
+        dropped(x)
+    return classes(docs, comps, id_col, text_col)
+
+
+def classes(docs: DataFrame, comps: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, node, comp, class_id) for every row: the least id is found for each text, then for each component, and told back to rows by way of texts."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("node"))
+    least = rows.groupBy("node").agg(F.min("doc_id").alias("least"))
+    of_text = written(least.join(comps, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "least"), "dup-texts")
+    of_class = written(of_text.groupBy("comp").agg(F.min("least").alias("class_id")), "dup-classes")
+    told = written(of_text.join(of_class, "comp").select("node", "comp", "class_id"), "dup-told")
+    for x in (comps, of_text, of_class):
+        dropped(x)
+    return rows.join(told, "node").select("doc_id", "node", "comp", "class_id")
 
 
 def op6(docs: DataFrame) -> DataFrame:
@@ -369,7 +515,10 @@ def op6(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each class: one that has the class's least id; columns unchanged."""
+    """docs with one row of each class: one that has the class's least id; columns unchanged.
+
+    Classes of null ids alone keep a row each; of rows of one id and text one stays; an empty table gives an empty one; texts of any length are compared whole.
+    """
     kept = near_duplicates(docs, id_col, text_col).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("comp", "class_id").agg(F.min("node").alias("__node"))
     rows = docs.withColumn("__of", F.xxhash64(text_col)).withColumn("__id", F.col(id_col))
     number = F.row_number().over(Window.partitionBy("__id", "__of").orderBy(F.lit(0)))
