@@ -124,3 +124,16 @@ def slopes(df: DataFrame, least: int) -> DataFrame:
     length = F.expr("cast(ax + ay + case when ax > 2 * ay then ax div 3 when ay > 2 * ax then ay div 3 else 0 end as int)")
     g = g.withColumn("len", length)
     return g.select("img_id", "y", "x", "gx", "gy", "len", F.when(F.col("len") < least, 0).when(F.col("ax") > F.col("ay"), 127).otherwise(-127).alias("dir"))
+
+
+def anchors(g: DataFrame, step_y: int, step_x: int, lead: int = 2) -> DataFrame:
+    """(img_id, y, x, len, dir): of slopes(), every step_y-th row's every step_x-th pixel whose length exceeds both neighbours across its edge by more than `lead`.
+
+    Rows and columns start at half a step, one at least; the border has none.
+    """
+    ends = Window.partitionBy("img_id")
+    n = g.withColumns({"l": at("len", -1, along()), "r": at("len", 1, along()), "u": at("len", -1, down()), "d": at("len", 1, down()), "h": F.max("y").over(ends), "w": F.max("x").over(ends)})
+    first_y, first_x = max(1, step_y // 2), max(1, step_x // 2)
+    inside = n.filter(f"dir <> 0 and y >= {first_y} and x >= {first_x} and (y - {first_y}) % {step_y} = 0 and (x - {first_x}) % {step_x} = 0 and y < h and x < w")
+    over = lambda a, b: (F.col("len") > F.col(a) + lead) & (F.col("len") > F.col(b) + lead)
+    return inside.filter(F.when(F.col("dir") < 0, over("u", "d")).otherwise(over("l", "r"))).select("img_id", "y", "x", "len", "dir")

@@ -131,3 +131,31 @@ def resampled_frames(df: DataFrame, frames: int, shift: int = 0) -> DataFrame:
     f = F.col("k") * (F.col("n") - 1) / F.lit(float(last_half)) - F.col("i")
     value = F.when(F.col("b").isNull(), F.col("v")).otherwise(F.floor(F.col("v") * (1 - f) + F.col("b") * f + F.lit(0.5 + 1e-9)))
     return inside.select(F.expr("cast(k div 2 as int)").alias("img_id"), "y", "x", F.least(F.lit(255), F.greatest(F.lit(0), value + 2 * shift)).cast("int").alias("v"))
+
+
+def blocks_of_four(df: DataFrame, y: int, x: int, h: int, w: int) -> DataFrame:
+    """(img_id, y, x, v): h x w means of 4 x 4 pixels, of their first and third rows, from (y, x) on; sizes are rounded up to fours, blocks that leave the image are 0."""
+    h, w = (-(-n // 4) * 4 for n in (h, w))
+    images = df.groupBy("img_id").agg((F.max("y") + 1).alias("ih"), (F.max("x") + 1).alias("iw"))
+    grid = images.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(h - 1)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(w - 1))))
+    inside = df.filter((F.col("y") >= y) & (F.col("x") >= x) & ((F.col("y") - y) % 2 == 0))
+    sums = inside.groupBy("img_id", F.expr(f"cast((y - {y}) div 4 as int)").alias("y"), F.expr(f"cast((x - {x}) div 4 as int)").alias("x")).agg(F.sum("v").alias("s"), F.count(F.lit(1)).alias("n"))
+    met = grid.join(sums, ["img_id", "y", "x"], "left")
+    whole_block = (y + 4 * F.col("y") >= 0) & (x + 4 * F.col("x") >= 0) & (F.col("n") == 8)
+    return met.select("img_id", "y", "x", F.when(whole_block, F.expr("(s + 3) div 8")).otherwise(0).cast("int").alias("v"))
+
+
+def resampled_frames_timed(df: DataFrame, frames: int, time: str = "t", shift: int = 0) -> DataFrame:
+    """resampled_frames() for frames taken at times of their own, which rise from 0 on: output half frame k stands at the k-th of 2 frames even times and mixes the two
+    source frames around it. Repeated times are an error."""
+    order = Window.partitionBy("y", "x").orderBy(time)
+    last_half = 2 * frames - 1
+    src = df.withColumns({"t2": F.lead(time).over(order), "b": F.lead("v").over(order), "t0": F.min(time).over(Window.partitionBy("y", "x")), "t1": F.max(time).over(Window.partitionBy("y", "x"))})
+    src = src.withColumn("t2", F.when(F.col("t2") == F.col(time), F.raise_error(F.lit("times must rise"))).otherwise(F.col("t2"))).filter("t1 > t0")
+    # A half frame's time is k (t1 - t0) / last_half; a source frame answers those from its own time to the next.
+    place = lambda c: F.ceil((F.col(c) - F.col("t0")) * last_half / (F.col("t1") - F.col("t0")) - 1e-9).cast("int")
+    span = F.when(F.col("t2").isNull(), F.array(F.lit(last_half))).when(place(time) <= place("t2") - 1, F.sequence(place(time), F.least(F.lit(last_half - 1), place("t2") - 1)))
+    k = src.withColumn("k", F.explode(span)).filter("k % 2 = y % 2")
+    f = (F.col("t0") + F.col("k") * (F.col("t1") - F.col("t0")) / last_half - F.col(time)) / (F.col("t2") - F.col(time))
+    value = F.when(F.col("t2").isNull(), F.col("v")).otherwise(F.floor(F.col("v") * (1 - f) + F.col("b") * f + F.lit(0.5 + 1e-9)))
+    return k.select(F.expr("cast(k div 2 as int)").alias("img_id"), "y", "x", F.least(F.lit(255), F.greatest(F.lit(0), value + 2 * shift)).cast("int").alias("v"))

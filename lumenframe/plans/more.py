@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import colour, edges, fits, glints, linear, polar, ranks, regions, segmentation
+from ..operators import colour, edges, fits, glints, linear, polar, ranks, regions, segmentation, transport
 from ..sources.fixtures import view
 from .queries import _SMOOTHED, QUERIES, add, image, near, square
 
@@ -170,3 +170,13 @@ _CENTRAL = _SMOOTHED + ", gr AS (SELECT o.img_id, o.y, o.x, CAST(trunc(CAST(6 *
 for _name, _kind, _pre, _lx, _lg, _over, _under in (("side_projection", "plain", _SOBELS, 6, 128, 1, 2), ("side_projection_fine", "fine", _SOBELS, 4, 72, 1, 2), ("side_projection_smooth", "smooth", _CENTRAL, 2, 144, 3, 4)):
     image(_name, lambda g, k=_kind: edges.side_projections(g, 33, 30, 7, 24, k), _pre + _SIDE.replace("{mask}", "").replace("{lx}", str(_lx)).replace("{lg}", str(_lg)).replace("{over}", str(_over)).replace("{under}", str(_under)), "disc")
 image("side_projection_masked", lambda g: edges.side_projections(g.withColumn("m", F.when(F.col("v") % 4 == 0, 255).otherwise(0)), 33, 30, 7, 24), _SOBELS + _SIDE.replace("{mask}", "WHERE v % 4 <> 0").replace("{lx}", "6").replace("{lg}", "128").replace("{over}", "1").replace("{under}", "2"), "disc")
+
+# --- anchors, blocks at a place, timed frames
+_SLOPES = _SM + """, d AS (SELECT o.img_id, o.y, o.x, abs(r.v - l.v) AS gx, abs(b.v - a.v) AS gy FROM sm o JOIN sm l ON l.img_id = o.img_id AND l.y = o.y AND l.x = greatest(0, o.x - 1) JOIN sm r ON r.img_id = o.img_id AND r.y = o.y AND r.x = least(63, o.x + 1)
+  JOIN sm a ON a.img_id = o.img_id AND a.x = o.x AND a.y = greatest(0, o.y - 1) JOIN sm b ON b.img_id = o.img_id AND b.x = o.x AND b.y = least(63, o.y + 1)), e AS (SELECT *, CAST(gx + gy + CASE WHEN gx > 2 * gy THEN gx // 3 WHEN gy > 2 * gx THEN gy // 3 ELSE 0 END AS INTEGER) AS len FROM d)"""
+image("edge_anchors", lambda g: ranks.anchors(ranks.slopes(ranks.smoothed_twice(g), 192), 3, 2), _SLOPES + """ SELECT o.img_id, o.y, o.x, o.len, CASE WHEN o.gx > o.gy THEN 127 ELSE -127 END AS dir FROM e o JOIN e p ON p.img_id = o.img_id AND p.y = o.y - CASE WHEN o.gx > o.gy THEN 0 ELSE 1 END AND p.x = o.x - CASE WHEN o.gx > o.gy THEN 1 ELSE 0 END
+JOIN e q ON q.img_id = o.img_id AND q.y = o.y + CASE WHEN o.gx > o.gy THEN 0 ELSE 1 END AND q.x = o.x + CASE WHEN o.gx > o.gy THEN 1 ELSE 0 END WHERE o.len >= 192 AND o.y BETWEEN 1 AND 62 AND o.x BETWEEN 1 AND 62 AND (o.y - 1) % 3 = 0 AND (o.x - 1) % 2 = 0 AND o.len > p.len + 2 AND o.len > q.len + 2""")
+image("blocks_of_four", lambda g: transport.blocks_of_four(g, -4, 6, 10, 15), "WITH g AS ({t}), o AS (SELECT img_id, j, k FROM (SELECT DISTINCT img_id FROM g), (SELECT CAST(unnest(range(12)) AS INTEGER) AS j), (SELECT CAST(unnest(range(16)) AS INTEGER) AS k)) SELECT o.img_id, j AS y, k AS x, CAST(CASE WHEN j >= 1 AND count(n.v) = 8 THEN (sum(n.v) + 3) // 8 ELSE 0 END AS INTEGER) AS v FROM o LEFT JOIN g n ON n.img_id = o.img_id AND n.y IN (4 * j - 4, 4 * j - 2) AND n.x BETWEEN 6 + 4 * k AND 9 + 4 * k GROUP BY 1, 2, 3")
+image("resample_timed", lambda g: transport.resampled_frames_timed(g.withColumn("t", F.col("img_id") * F.col("img_id") - 1), 5, shift=-2), """WITH g AS ({t}), s AS (SELECT y, x, v, CAST(img_id * img_id - 1 AS DOUBLE) AS t, lead(v) OVER w AS b, CAST(lead(img_id * img_id - 1) OVER w AS DOUBLE) AS t2, max(img_id * img_id - 1) OVER (PARTITION BY y, x) AS e FROM g WINDOW w AS (PARTITION BY y, x ORDER BY img_id)),
+o AS (SELECT s.*, k, CAST(k * e AS DOUBLE) / 9 AS p FROM s CROSS JOIN (SELECT CAST(unnest(range(10)) AS INTEGER) AS k) WHERE y % 2 = k % 2)
+SELECT CAST(k // 2 AS INTEGER) AS img_id, y, x, CAST(least(255, greatest(0, CASE WHEN t2 IS NULL THEN v ELSE floor(v * (1 - (p - t) / (t2 - t)) + b * (p - t) / (t2 - t) + 0.5 + 1e-9) END - 4)) AS INTEGER) AS v FROM o WHERE CASE WHEN k = 9 THEN t2 IS NULL ELSE p >= t - 1e-9 AND p < t2 - 1e-9 END""")
