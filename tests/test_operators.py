@@ -246,9 +246,9 @@ def test_circles_of_a_drawn_eye(spark):
     eye[(x - 90) ** 2 + (y - 75) ** 2 <= 60**2] = 110
     eye[(x - 92) ** 2 + (y - 76) ** 2 <= 32**2] = 30
     eye = (eye + np.random.default_rng(2).integers(0, 4, eye.shape)).astype(int)
-    r = segmentation.segmented(image(spark, eye)).first()
-    assert abs(r["pr"] - 32) <= 4 and abs(r["ir"] - 60) <= 5 and abs(r["ix"] - 90) <= 4 and abs(r["iy"] - 75) <= 4, r
     found = segmentation.segmented(image(spark, eye))
+    r = found.first()
+    assert abs(r["pr"] - 32) <= 4 and abs(r["ir"] - 60) <= 5 and abs(r["ix"] - 90) <= 4 and abs(r["iy"] - 75) <= 4, r
     marked = spark.createDataFrame([(1, 92, 76, 32, 90, 75, 60)], "img_id int, px int, py int, pr int, ix int, iy int, ir int")
     assert segmentation.scored(found, marked).first()["total"] < 0.5
     circles = spark.createDataFrame([(1, 90, 75, 32)], "img_id int, ix int, iy int, pr int")
