@@ -115,6 +115,29 @@ def test_principal_axes_and_classes(spark):
     assert got.filter("label = best").count() >= 118
 
 
+def test_single_linkage_links_places_not_points(spark, monkeypatch):
+    """Copies of a place make no pairs; repeated ids join their places; points without a set, id or finite place stay alone."""
+    pts = [(s, 10 * n + s, float(x), 0.0) for s in (1, 2) for n, x in enumerate([0, 2, 9, 11, 40] * 100)]
+    pts += [(1, 7, 80.0, 0.0), (1, 7, 90.0, 0.0), (1, 8, 90.0, 1.0), (1, 9001, None, 0.0), (1, 9002, None, 0.0), (1, 9003, math.nan, 0.0), (1, 9004, math.nan, 0.0), (None, 1, 0.0, 0.0), (None, 2, 0.0, 0.0), (1, None, 0.0, 0.0), (1, None, 9.0, 0.0)]
+    made, pairs = [], cluster.near_pairs
+    monkeypatch.setattr(cluster, "near_pairs", lambda *a: made.append(pairs(*a)) or made[-1])
+    got = {(r["set_id"], r["id"]): r["cluster"] for r in cluster.single_linkage(spark.createDataFrame(pts, "set_id int, n long, x double, y double"), 3).collect()}
+    assert made[0].count() == 5
+    at = {}
+    for s, n, x, y in pts:
+        at.setdefault((s, n), set()).add((x, y))
+    want = {k: k[1] for k in at}
+    near = lambda p, q: any(None not in (*a, *b) and (a[0] - b[0]) ** 2 + (a[1] - b[1]) ** 2 <= 9 for a in at[p] for b in at[q])
+    for p in sorted((k for k in at if None not in k), key=lambda k: k[1]):
+        todo = [p] if want[p] == p[1] else []
+        for q in todo:
+            for r in at:
+                if None not in r and r[0] == q[0] and want[r] > p[1] and near(q, r):
+                    want[r] = p[1]
+                    todo.append(r)
+    assert got == want
+
+
 def test_single_linkage_and_resampling(spark):
     pts = spark.createDataFrame([(1, n, x, 0) for n, x in enumerate([0, 2, 4, 20, 21, 50])], "set_id int, n long, x int, y int")
     assert sorted(r["n"] for r in cluster.cluster_sizes(cluster.single_linkage(pts, 2)).collect()) == [1, 2, 3]
