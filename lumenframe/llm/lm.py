@@ -25,6 +25,8 @@ from .langid import held_out
 FOLDS, HELD = 7, 2
 #: Bytes of text of a block, about.
 BLOCK = 8 << 20
+#: Tokens of a block whose estimates are worked out at once.
+PLACES = 1 << 16
 END, START = np.uint64(0x1B873593CC9E2D51), np.uint64(0x85EBCA6BC2B2AE35)
 ORDER = 3
 #: Powers of two up to 2^63, so no count is cut. A bucket is the power of two of c(uv), or 64 and that of c(v).
@@ -67,29 +69,47 @@ def tokens(column) -> tuple[np.ndarray, np.ndarray]:
     for i, _, part, at in tb.pieces(data, offsets):
         starts, ends, doc = tb.spans(~gap[part], at)
         words.append(tb.hashes(low[part], starts, ends))
-        docs.append(doc + i)
+        docs.append((doc + i).astype(np.int32))
     n = len(offsets) - 1
-    doc = np.concatenate([*docs, np.zeros(0, np.int64)])
-    of = np.empty(len(doc) + n, np.int64)
+    size = sum(len(x) for x in docs)
+    of = np.empty(size + n, np.int32)
     token = np.full(len(of), END, np.uint64)
-    place = np.arange(len(doc)) + doc
-    token[place] = np.concatenate([*words, np.zeros(0, np.uint64)])
-    of[place] = doc
-    of[np.cumsum(np.bincount(doc, minlength=n) + 1) - 1] = np.arange(n)
+    sizes, at = np.zeros(n, np.int64), 0
+    for word, doc in zip(words, docs, strict=True):
+        place = np.arange(at, at + len(doc)) + doc
+        token[place], of[place] = word, doc
+        if len(doc):
+            sizes[doc[0] : doc[-1] + 1] += np.bincount(doc - doc[0])
+        at += len(doc)
+    of[np.cumsum(sizes + 1) - 1] = np.arange(n)
     return token, of
 
 
+def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.unique with the inverse, whose numbers are of 32 bits: a text, and so a block, has fewer than 2^31 words."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.append(True, keys[1:] != keys[:-1])[: len(keys)]
+    inverse = np.empty(len(keys), np.int32)
+    inverse[order] = np.cumsum(new, dtype=np.int32) - 1
+    return keys[new], inverse
+
+
 def keys_of(token: np.ndarray, doc: np.ndarray, kind: int, bits: int) -> np.ndarray:
     """The hash of each token and the `kind` tokens before it, START standing before each text; of words all bits count, else the upper ones."""
     if not kind:
         return token
-    parts = []
-    for back in range(kind, 0, -1):
-        earlier = np.full(len(token), START, np.uint64)
-        same = doc[back:] == doc[:-back]
-        earlier[back:][same] = token[:-back][same]
-        parts.append(earlier)
-    return tb.combined([*parts, token]) >> np.uint64(64 - bits)
+    keys = np.empty(len(token), np.uint64)
+    for a in range(0, len(token), PLACES):
+        z = min(a + PLACES, len(token))
+        parts = []
+        for back in range(kind, 0, -1):
+            earlier, b = np.full(z - a, START, np.uint64), min(max(a, back), z)
+            same = doc[b:z] == doc[b - back : z - back]
+            earlier[b - a :][same] = token[b - back : z - back][same]
+            parts.append(earlier)
+        keys[a:z] = tb.combined([*parts, token[a:z]]) >> np.uint64(64 - bits)
+    return keys
 
 
 def questions(parts: int, bits: int):
@@ -101,8 +121,8 @@ def questions(parts: int, bits: int):
         learned = np.asarray(rows["learned"].to_numpy(), bool)[doc]
         out = {"kind": [], "part": [], "block": [], "keys": [], "counts": []}
         for kind in range(ORDER):
-            keys, inverse = np.unique(keys_of(token, doc, kind, bits), return_inverse=True)
-            counts = np.bincount(inverse, weights=learned, minlength=len(keys)).astype(np.uint32)
+            keys, inverse = numbered(keys_of(token, doc, kind, bits))
+            counts = np.bincount(inverse[learned], minlength=len(keys)).astype(np.uint32)
             del inverse
             of = (keys >> np.uint64((bits if kind else 64) - power)).astype(np.int64) if power else np.zeros(len(keys), np.int64)
             cuts = np.searchsorted(of, np.arange(parts + 1))
@@ -119,38 +139,44 @@ def questions(parts: int, bits: int):
 def answer(key, rows):
     """Sums over blocks, sent back to each; block -1 gets the range's tokens and distinct tokens."""
     keys = [unpack_keys(x.as_py()) for x in rows["keys"]]
-    counts = [unpack(x.as_py(), np.uint32) for x in rows["counts"]]
-    _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    sums = np.bincount(inverse, weights=np.concatenate(counts))
     cuts = np.append(0, np.cumsum([len(k) for k in keys]))
+    keys = np.concatenate(keys)
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.append(True, keys[1:] != keys[:-1])
+    inverse = np.empty(len(keys), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    del keys, order
+    sums = np.bincount(inverse, weights=np.concatenate([unpack(x.as_py(), np.uint32) for x in rows["counts"]]))
     wide = bool(sums.max() >= 2**32)
     told = [pack(sums[inverse[a:z]].astype(np.uint64 if wide else np.uint32)) for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
-    stats = np.array([sums.sum(), (sums > 0).sum()], np.float64).tobytes()
     n = len(told) + 1
     kind, part = key[0].as_py(), key[1].as_py()
-    return pa.table({"block": pa.array([*rows["block"].to_pylist(), -1], pa.int32()), "kind": pa.array([kind] * n, pa.int32()), "part": pa.array([part] * n, pa.int32()), "wide": pa.array([wide] * n), "data": pa.array([*told, stats], pa.binary())})
-
-
-def shifted(count: np.ndarray, first: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Each place's count of the place before it, or `start` at the first of a text."""
-    return np.where(first, start, np.append(0.0, count[:-1]))
+    number = lambda x: pa.array([0.0] * (n - 1) + [float(x)])
+    return pa.table({"block": pa.array([*rows["block"].to_pylist(), -1], pa.int32()), "kind": pa.array([kind] * n, pa.int32()), "part": pa.array([part] * n, pa.int32()), "wide": pa.array([wide] * n), "data": pa.array([*told, b""], pa.binary()), "total": number(sums.sum()), "distinct": number((sums > 0).sum())})
 
 
 def known_counts(rows, told, bits: int) -> tuple[np.ndarray, ...]:
-    """(c(w), c(vw), c(uvw), c(v), c(uv), document) for each token of the block, from the answers."""
+    """(c(w), c(vw), c(uvw), document) for each token of the block, from the answers; and c(START)."""
     token, doc = tokens(rows["text"])
     kinds = told["kind"].to_pylist()
     found = []
     for kind in range(ORDER):
         at = sorted((p, i) for i, (k, p) in enumerate(zip(kinds, told["part"].to_pylist(), strict=True)) if k == kind)
-        totals = np.concatenate([unpack(told["data"][i].as_py(), np.uint64 if told["wide"][i].as_py() else np.uint32).astype(np.float64) for _, i in at])
-        found.append(totals[np.unique(keys_of(token, doc, kind, bits), return_inverse=True)[1]])
-    one, two, three = found
-    first = np.append(True, doc[1:] != doc[:-1])
+        inverse = numbered(keys_of(token, doc, kind, bits))[1]
+        found.append(np.concatenate([unpack(told["data"][i].as_py(), np.uint64 if told["wide"][i].as_py() else np.uint32) for _, i in at])[inverse])
     # START stands before each text, once as a word and once as a pair, as often as END after it.
-    texts = one[token == END]
-    start = texts[0] if len(texts) else 0.0
-    return one, two, three, shifted(one, first, start), shifted(two, first, start), doc
+    texts = found[0][token == END]
+    return *found, doc, float(texts[0]) if len(texts) else 0.0
+
+
+def contexts(one, two, three, doc, start: float):
+    """(slice, c(w), c(vw), c(uvw), c(v), c(uv)) for runs of PLACES tokens: a context's count is that of the place before, or `start` at the first of a text."""
+    for a in range(0, len(doc), PLACES):
+        z = min(a + PLACES, len(doc))
+        first = np.append(a == 0 or doc[a] != doc[a - 1], doc[a + 1 : z] != doc[a : z - 1])
+        before = lambda count: np.where(first, start, np.append(count[a - 1] if a else start, count[a : z - 1]))  # noqa: B023, E731
+        yield slice(a, z), *(x[a:z].astype(np.float64) for x in (one, two, three)), before(one).astype(np.float64), before(two).astype(np.float64)
 
 
 def power_of(x: np.ndarray) -> np.ndarray:
@@ -174,8 +200,8 @@ def level(p: np.ndarray) -> np.ndarray:
 
 
 def model_of(told: pa.Table) -> tuple[float, float, np.ndarray | None]:
-    """(N, V, weights) from a block's row of kind ORDER; weights are missing while they are learned."""
-    data = told.filter(pa.compute.equal(told["kind"], ORDER))["data"][0].as_py()
+    """(N, V, weights) from the one row of a block that has them; weights are missing while they are learned."""
+    data = told["model"].drop_null()[0].as_py()
     total, distinct = np.frombuffer(data[:16], np.float64)
     return float(total), float(distinct), np.frombuffer(data[16:], np.float64).reshape(BUCKETS, ORDER + 1) if len(data) > 16 else None
 
@@ -184,16 +210,21 @@ def deleted(bits: int):
     def run(key, rows, told):
         """Training occurrences by (bucket, powers of two of the estimates), with their number and the sums of their estimates."""
         total, _, _ = model_of(told)
-        one, two, three, word, pair, doc = known_counts(rows, told, bits)
+        one, two, three, doc, start = known_counts(rows, told, bits)
         learned = np.asarray(rows["learned"].to_numpy(), bool)[doc]
-        one, two, three, word, pair = (np.maximum(x[learned] - 1, 0.0) for x in (one, two, three, word, pair))
-        p = estimates(one, two, three, word, pair, total - 1)
-        cell = bucket(word, pair)
-        for k in range(ORDER):
-            cell = cell * LEVELS + level(p[:, k])
-        at, of = np.unique(cell, return_inverse=True)
-        sums = [np.bincount(of, weights=p[:, k], minlength=len(at)) for k in range(ORDER)]
-        return pa.table({"cell": pa.array(at, pa.int64()), "n": pa.array(np.bincount(of, minlength=len(at)), pa.int64()), **{f"p{k}": pa.array(x, pa.float64()) for k, x in enumerate(sums)}})
+        cells, sums = [], []
+        for of, *counts in contexts(one, two, three, doc, start):
+            one_, two_, three_, word, pair = (np.maximum(x[learned[of]] - 1, 0.0) for x in counts)
+            p = estimates(one_, two_, three_, word, pair, total - 1)
+            cell = bucket(word, pair)
+            for k in range(ORDER):
+                cell = cell * LEVELS + level(p[:, k])
+            at, which = np.unique(cell, return_inverse=True)
+            cells.append(at)
+            sums.append(np.stack([np.bincount(which, minlength=len(at)), *(np.bincount(which, weights=p[:, k], minlength=len(at)) for k in range(ORDER))]))
+        at, which = np.unique(np.concatenate(cells), return_inverse=True)
+        n, *sums = (np.bincount(which, weights=x, minlength=len(at)) for x in np.concatenate(sums, 1))
+        return pa.table({"cell": pa.array(at, pa.int64()), "n": pa.array(n.astype(np.int64)), **{f"p{k}": pa.array(x, pa.float64()) for k, x in enumerate(sums)}})
 
     return run
 
@@ -222,13 +253,15 @@ def probabilities(one, two, three, word, pair, total: float, distinct: float, we
 def scored(id_type: pa.DataType, bits: int):
     def run(key, rows, told):
         total, distinct, weights = model_of(told)
-        one, two, three, word, pair, doc = known_counts(rows, told, bits)
-        p = probabilities(one, two, three, word, pair, total, distinct, weights)
+        one, two, three, doc, start = known_counts(rows, told, bits)
+        log, base = np.empty(len(doc)), np.empty(len(doc))
+        for of, *counts in contexts(one, two, three, doc, start):
+            log[of] = np.log10(probabilities(*counts, total, distinct, weights))
+            base[of] = np.log10((counts[0] + 1.0) / (total + distinct + 1.0))
         first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
         add = lambda x: np.add.reduceat(x, first)
         n = np.diff(np.append(first, len(doc)))
-        base = add(np.log10((one + 1.0) / (total + distinct + 1.0)))
-        return pa.table({"doc_id": rows["doc_id"].cast(id_type), "held_out": rows["held_out"], "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(add((one > 0).astype(np.int64)), pa.int64()), "train_tokens": pa.array(np.full(len(n), int(total)), pa.int64()), "base_score": pa.array(base), "score": pa.array(add(np.log10(p)))})
+        return pa.table({"doc_id": rows["doc_id"].cast(id_type), "held_out": rows["held_out"], "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(add((one > 0).astype(np.int64)), pa.int64()), "train_tokens": pa.array(np.full(len(n), int(total)), pa.int64()), "base_score": pa.array(add(base)), "score": pa.array(add(log))})
 
     return run
 
@@ -252,19 +285,19 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     ).repartition(blocks, "block")
     asked = rows.groupBy("block").applyInArrow(questions(parts, bits), "kind int, part int, block int, keys binary, counts binary")
     # A task of its own for each range, as far as hashing goes, so that a task's share doesn't grow with the corpus.
-    told = asked.repartition(ORDER * parts, "kind", "part").groupBy("kind", "part").applyInArrow(answer, "block int, kind int, part int, wide boolean, data binary")
-    number = lambda i: F.sum(F.when(F.col("kind") == 0, F.col("stat")[i])).alias(("total", "distinct")[i])
-    stats = told.filter("block = -1").mapInArrow(_stats, "kind int, stat array<double>").agg(*(F.coalesce(number(i), F.lit(0.0)).alias(("total", "distinct")[i]) for i in range(2)))
-    to_blocks = told.filter("block >= 0")
-    # N and V, and the weights of all buckets, are one row of BUCKETS x (ORDER + 1) + 2 numbers, told to every block.
-    each = spark.range(blocks).select(F.col("id").cast("int").alias("block"), F.lit(ORDER).alias("kind"), F.lit(0).alias("part"), F.lit(False).alias("wide"))
-    told_all = lambda model: to_blocks.unionByName(each.crossJoin(F.broadcast(model))).groupBy("block")
+    told = asked.repartition(ORDER * parts, "kind", "part").groupBy("kind", "part").applyInArrow(answer, "block int, kind int, part int, wide boolean, data binary, total double, distinct double")
+    stats = told.filter("block = -1 and kind = 0").agg(*(F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in ("total", "distinct")))
+    # Dealt to blocks once for both passes. N and V, and the weights of all buckets, are one row of BUCKETS x (ORDER + 1) + 2 numbers; a block gets them with
+    # the answer that has its count of END.
+    to_blocks = told.filter("block >= 0").select("block", "kind", "part", "wide", "data").repartition(blocks, "block")
+    has_end = (F.col("kind") == 0) & (F.col("part") == (int(END) * parts >> 64))
+    told_all = lambda model: to_blocks.crossJoin(F.broadcast(model)).withColumn("model", F.when(has_end, F.col("model"))).groupBy("block")
     by_block = rows.groupBy("block")
-    cells = by_block.cogroup(told_all(stats.mapInArrow(_model, "data binary"))).applyInArrow(_not_empty(deleted(bits), CELLS), CELLS)
+    cells = by_block.cogroup(told_all(stats.mapInArrow(_model, "model binary"))).applyInArrow(_not_empty(deleted(bits), CELLS), CELLS)
     cells = cells.groupBy("cell").agg(F.sum("n").alias("n"), *(F.sum(f"p{k}").alias(f"p{k}") for k in range(ORDER)))
-    cells = cells.withColumn("bucket", F.expr(f"cast(cell div {LEVELS**ORDER} as int)")).crossJoin(F.broadcast(stats.select("distinct")))
+    cells = cells.withColumn("bucket", F.expr(f"cast(cell div {LEVELS**ORDER} as int)")).crossJoin(F.broadcast(stats))
     weights = cells.groupBy("bucket").applyInPandas(learn, "bucket int, weights array<double>").agg(F.collect_list(F.struct("bucket", "weights")).alias("weights"))
-    model = stats.crossJoin(F.broadcast(weights)).mapInArrow(_model, "data binary")
+    model = stats.crossJoin(F.broadcast(weights)).mapInArrow(_model, "model binary")
     id_type = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("held_out", T.BooleanType()), *(T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
     return by_block.cogroup(told_all(model)).applyInArrow(_not_empty(scored(to_arrow_type(id_type), bits), schema), schema)
@@ -282,11 +315,6 @@ def _not_empty(run, schema):
     return f
 
 
-def _stats(batches):
-    for b in batches:
-        yield pa.RecordBatch.from_pydict({"kind": b.column("kind"), "stat": pa.array([np.frombuffer(x.as_py(), np.float64).tolist() for x in b.column("data")], pa.list_(pa.float64()))})
-
-
 def _model(batches):
     """N and V as bytes, and where the row has them the weights of all buckets; buckets without training occurrences share their weight between the lower orders."""
     for b in batches:
@@ -299,4 +327,4 @@ def _model(batches):
                     weights[own["bucket"]] = own["weights"]
                 data += weights.tobytes()
             told.append(data)
-        yield pa.RecordBatch.from_arrays([pa.array(told, pa.binary())], names=["data"])
+        yield pa.RecordBatch.from_arrays([pa.array(told, pa.binary())], names=["model"])

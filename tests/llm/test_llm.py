@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -434,6 +435,31 @@ def test_language_model_is_deleted_interpolation(spark):
         assert abs(got[i] - want) < 0.01 * (len(toks) - 2)
 
 
+def test_language_model_memory_of_a_block(spark):
+    """A pass over a block takes little more than the sort of its keys, and the counts are summed once for N and V and once for both passes."""
+    random = np.random.default_rng(5)
+    texts = [" ".join(f"w{k}" for k in random.integers(0, 30000, 10000)) for _ in range(150)]
+    n, bits = len(texts), 40
+    rows = pa.table({"doc_id": pa.array(range(n)), "held_out": pa.array([False] * n), "learned": pa.array([True] * n), "text": pa.array(texts)})
+    asked = lm.questions(1, bits)((pa.scalar(0, pa.int32()),), rows)
+    told = pa.concat_tables([lm.answer((asked["kind"][i], asked["part"][i]), asked.slice(i, 1)) for i in range(asked.num_rows)])
+    told = told.filter(pa.compute.equal(told["block"], 0))
+    model = np.concatenate([[1.5e6 + n, 30001.0], np.tile([0.4, 0.3, 0.2, 0.1], lm.BUCKETS)]).tobytes()
+    told = told.append_column("model", pa.array([model if k == 0 else None for k in told["kind"].to_pylist()], pa.binary()))
+    extra = {"block": pa.array([0], pa.int32()), "kind": pa.array([lm.ORDER], pa.int32()), "part": pa.array([0], pa.int32()), "wide": pa.array([False]), "data": pa.array([model], pa.binary())}
+    told = pa.concat_tables([told, pa.table(extra)], promote_options="default")
+    for run in (lm.scored(pa.int64(), bits), lm.deleted(bits)):
+        tracemalloc.start()
+        run((pa.scalar(0, pa.int32()),), rows, told)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 80 * 1.5e6
+    plan = lm.score(spark.createDataFrame([(i, t[:2000]) for i, t in enumerate(texts)], "doc_id long, text string"), block=1 << 16)
+    assert len(plan.collect()) == n
+    done = plan._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert done.count("answer(kind") == 2
+
+
 def test_language_model_estimates_at_any_count():
     """Probabilities come from counts up to 2^62 as from small ones of the same ratios."""
     weights = np.tile([0.4, 0.3, 0.2, 0.1], (lm.BUCKETS, 1))
